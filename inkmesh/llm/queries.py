@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkmesh.llm import toxicity
 from inkmesh.llm.common import read_table
 from inkmesh.llm.compression_rules import compression_rules
 from inkmesh.llm.decontaminate import decontaminate
@@ -19,6 +20,12 @@ def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"), train_where=~toxicity.held_out())
+    return toxicity.score_toxicity(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "toxicity.*")
+
+
 def op5_compression_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return compression_rules(docs).select("doc_id", "rules.*")
@@ -66,6 +73,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_toxicity": op3_toxicity,
         "op5_compression_rules": op5_compression_rules,
         "op6_decontaminate": op6_decontaminate,
         "op10_pack": op10_pack,
