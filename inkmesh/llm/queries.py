@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkmesh.llm import toxicity
+from inkmesh.llm import langid, toxicity
 from inkmesh.llm.common import read_table
 from inkmesh.llm.compression_rules import compression_rules
 from inkmesh.llm.decontaminate import decontaminate
@@ -26,6 +26,12 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "toxicity.*")
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    samples = langid.learn(docs, train_where=~langid.held_out())
+    return langid.identify_language(docs.drop("lang"), samples).select("doc_id", langid.held_out().alias("held_out"), "language.*")
+
+
 def op5_compression_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     return compression_rules(docs).select("doc_id", "rules.*")
@@ -74,6 +80,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_toxicity": op3_toxicity,
+        "op4_langid": op4_langid,
         "op5_compression_rules": op5_compression_rules,
         "op6_decontaminate": op6_decontaminate,
         "op10_pack": op10_pack,
