@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkmesh.llm import langid, toxicity
-from inkmesh.llm.common import read_table
+from inkmesh.llm.common import read_table, shared_dir
 from inkmesh.llm.compression_rules import compression_rules
 from inkmesh.llm.decontaminate import decontaminate
 from inkmesh.llm.packing import pack
+from inkmesh.llm.warc_zst import read_archives, write_archives
 
 
 def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
@@ -71,6 +72,31 @@ FROM d LEFT JOIN marked USING (rid) LEFT JOIN items USING (rid)
 """
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read_table(spark, sf_dir, "pages")
+    folder = shared_dir(spark)
+    manifest = write_archives(pages, folder)
+    kind = pages.schema["page_id"].dataType
+    records = read_archives(manifest, folder, with_payload=False)
+    number = lambda c: F.when(F.col(c) != "", F.col(c)).cast(kind).alias(c)
+    return records.select(number("page_id"), "payload_bytes", "payload_digest", "record_type", number("refers_to"))
+
+
+OP7_SQL = """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS hex FROM pages),
+digit AS (SELECT page_id, payload_bytes, hex, [CAST('0x' || hex[1 + 10 * g:10 + 10 * g] AS BIGINT) FOR g IN range(4)] AS v FROM p),
+d AS (
+  SELECT page_id, payload_bytes, hex,
+         array_to_string([array_to_string([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((x >> CAST(35 - 5 * k AS BIGINT)) & 31) + 1 AS BIGINT), 1) FOR k IN range(8)], '') FOR x IN v], '') AS payload_digest
+  FROM digit),
+owner AS (SELECT hex, max(page_id) AS owner FROM p GROUP BY hex)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN page_id IS NOT DISTINCT FROM owner THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM owner THEN owner END AS refers_to
+FROM d JOIN owner USING (hex)
+"""
+
+
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     pieces = pack(docs, public_tokenizer())
@@ -83,9 +109,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_langid": op4_langid,
         "op5_compression_rules": op5_compression_rules,
         "op6_decontaminate": op6_decontaminate,
+        "op7_warc": op7_warc,
         "op10_pack": op10_pack,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontaminate": OP6_SQL}
+    return {"op6_decontaminate": OP6_SQL, "op7_warc": OP7_SQL}
