@@ -12,6 +12,7 @@ from inkmesh.llm.common import read_table, shared_dir
 from inkmesh.llm.compression_rules import compression_rules
 from inkmesh.llm.decontaminate import decontaminate
 from inkmesh.llm.packing import pack
+from inkmesh.llm.secret_scan import scan_secrets, spelled
 from inkmesh.llm.warc_zst import read_archives, write_archives
 
 
@@ -97,6 +98,15 @@ FROM d JOIN owner USING (hex)
 """
 
 
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = scan_secrets(docs).select("doc_id", F.col("secrets.spans").alias("s"))
+    n = lambda kind: F.size(F.filter("s", lambda x: x["kind"] == kind)).cast("long")
+    return out.select(
+        "doc_id", n("assign").alias("n_assign"), n("access").alias("n_access"), n("hex").alias("n_hex"), F.sha2(spelled(F.filter("s", lambda x: x["kind"] != "random")), 256).alias("base_sha256"), spelled(F.col("s")).alias("spans"), n("random").alias("n_random")
+    )
+
+
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     pieces = pack(docs, public_tokenizer())
@@ -110,6 +120,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_compression_rules": op5_compression_rules,
         "op6_decontaminate": op6_decontaminate,
         "op7_warc": op7_warc,
+        "op8_secret_scan": op8_secret_scan,
         "op10_pack": op10_pack,
     }
 
