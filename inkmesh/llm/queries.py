@@ -11,6 +11,7 @@ from inkmesh.llm import langid, toxicity
 from inkmesh.llm.common import read_table, shared_dir
 from inkmesh.llm.compression_rules import compression_rules
 from inkmesh.llm.decontaminate import decontaminate
+from inkmesh.llm.lsh_forest import jaccard_join
 from inkmesh.llm.packing import pack
 from inkmesh.llm.secret_scan import scan_secrets, spelled
 from inkmesh.llm.warc_zst import read_archives, write_archives
@@ -107,6 +108,11 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, _ = jaccard_join(read_table(spark, sf_dir, "documents"))
+    return members.select(F.col("id").alias("doc_id"), "class_id", "n_links", "copy_of")
+
+
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     pieces = pack(docs, public_tokenizer())
@@ -121,6 +127,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_decontaminate": op6_decontaminate,
         "op7_warc": op7_warc,
         "op8_secret_scan": op8_secret_scan,
+        "op9_jaccard_join": op9_jaccard_join,
         "op10_pack": op10_pack,
     }
 
