@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkmesh.llm import langid, toxicity
+from inkmesh.llm import langid, quality_classifier, toxicity
 from inkmesh.llm.common import read_table, shared_dir
 from inkmesh.llm.compression_rules import compression_rules
 from inkmesh.llm.decontaminate import decontaminate
@@ -23,6 +23,11 @@ def public_tokenizer(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality_classifier.classify_quality(docs, quality_classifier.fit(docs)).select("doc_id", "quality_class.*")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"), train_where=~toxicity.held_out())
@@ -121,6 +126,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_classifier": op1_quality_classifier,
         "op3_toxicity": op3_toxicity,
         "op4_langid": op4_langid,
         "op5_compression_rules": op5_compression_rules,
