@@ -14,6 +14,7 @@ from inkmesh.llm.decontaminate import decontaminate
 from inkmesh.llm.lsh_forest import jaccard_join
 from inkmesh.llm.packing import pack
 from inkmesh.llm.secret_scan import scan_secrets, spelled
+from inkmesh.llm.substring_dedup import repeated_passages
 from inkmesh.llm.warc_zst import read_archives, write_archives
 
 
@@ -28,6 +29,11 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify_quality(docs, quality_classifier.fit(docs)).select("doc_id", "quality_class.*")
 
 
+def op2_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_passages(read_table(spark, sf_dir, "documents"))
+    return found.withColumnsRenamed({"id": "doc_id", "other_id": "match_doc_id", "other_start_word": "match_start_word", "other_end_word": "match_end_word"})
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"), train_where=~toxicity.held_out())
@@ -127,6 +133,7 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
+        "op2_repeated_passages": op2_repeated_passages,
         "op3_toxicity": op3_toxicity,
         "op4_langid": op4_langid,
         "op5_compression_rules": op5_compression_rules,
