@@ -27,9 +27,11 @@ alone; repeated rows are packed once each; an empty table gives no rows.
 
 from __future__ import annotations
 
+import json
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -40,38 +42,77 @@ TIERS = (256, 512, 1024, 2048, 4096)
 ROUND_TOKENS = 1 << 20
 GROUP_TOKENS = 1 << 16
 OPEN_GROUPS = 8
-#: Words whose ids a Python worker remembers before it starts anew.
-MAX_REMEMBERED = 400_000
+#: Strings whose ids a Python worker remembers before it starts anew.
+MAX_REMEMBERED = 1_000_000
 _BREAKS = str.maketrans("\t\n\r", "   ")
+_MARKS = ".,;:!?"
+#: Tokenizer settings under which a text's ids are those of its letter runs, lower-cased, and of the signs between.
+_WORD_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_WORD_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
 
 
 class Encoder:
     """Little-endian uint32 ids of whole texts, by a public tokenizer.
 
-    The vocabulary's pre-tokenizer drops white space and never joins what
-    white space parts, so a text's ids are those of its space-separated
-    strings in turn; each distinct string is given to the tokenizer once.
+    If the vocabulary drops white space and never joins what it parts, a
+    text's ids are those of its space-separated strings in turn, so each
+    distinct string is tokenised once and remembered.  A string of Latin-1
+    letters and closing marks is put together from its lower-cased letters and
+    its marks; letters not met before go through the same BPE model in one
+    call.  Any other vocabulary gets whole texts.
     """
 
     def __init__(self, path: str, end_id: int):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end = end_id.to_bytes(4, "little")
+        with open(path, encoding="utf-8") as f:
+            config = json.load(f)
+        split = (config.get("pre_tokenizer") or {}).get("pretokenizers") or [None]
+        suffix = config["model"].get("end_of_word_suffix")
+        self.by_word = bool(suffix) and (config.get("normalizer") or {}).get("normalizers") == _WORD_NORMALIZER and split[0] == _WORD_SPLIT
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        if self.by_word:
+            self.ends_word[[i for t, i in config["model"]["vocab"].items() if t.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {}
+        self.letters: dict[str, bytes] = {}
+        self.model = Tokenizer(self.tokenizer.model)
+        self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+
+    def _whole(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn_letters(self, fresh: list[str]) -> None:
+        ids = np.array(self.model.encode_batch_fast([" ".join(fresh)], add_special_tokens=False)[0].ids, "<u4")
+        cuts = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
+        raw = ids.tobytes()
+        self.letters.update((w, raw[a:b]) for w, a, b in zip(fresh, [0, *cuts], cuts, strict=False))
+        if len(cuts) != len(fresh):
+            raise ValueError("the vocabulary does not mark the ends of words")
 
     def _learn(self, words: list[str]) -> dict[str, bytes]:
-        fresh = list(dict.fromkeys(w for w in words if w not in self.known))
-        if len(self.known) + len(fresh) > MAX_REMEMBERED:
+        if len(self.known) > MAX_REMEMBERED or len(self.letters) > MAX_REMEMBERED:
             self.known.clear()
-            fresh = list(dict.fromkeys(words))
-        ids = {w: b"".join(i.to_bytes(4, "little") for i in e.ids) for w, e in zip(fresh, self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False), strict=True)}
-        if len(fresh) > MAX_REMEMBERED:
-            return ids
-        self.known.update(ids)
-        return self.known
+            self.letters.clear()
+        made, parts, plain = self.known, [], []
+        for w in dict.fromkeys(words):
+            if w not in made:
+                core = w.rstrip(_MARKS)
+                if core.isalpha() and max(core) < "\u0100":
+                    parts.append((w, core.lower(), w[len(core) :]))
+                else:
+                    plain.append(w)
+        plain += dict.fromkeys(m for _, _, m in parts if m not in made)
+        made.update(zip(plain, self._whole(plain), strict=True))
+        if fresh := list(dict.fromkeys(c for _, c, _ in parts if c not in self.letters)):
+            self._learn_letters(fresh)
+        made.update((w, self.letters[c] + made[m] if m else self.letters[c]) for w, c, m in parts)
+        return made
 
     def encode(self, text: str | None) -> bytes:
+        if not self.by_word:
+            return self._whole([text or ""])[0] + self.end
         words = (text or "").translate(_BREAKS).split(" ")
         try:
             return b"".join(map(self.known.__getitem__, words)) + self.end

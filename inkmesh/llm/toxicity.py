@@ -152,13 +152,16 @@ def summed(rows: np.ndarray) -> np.ndarray:
 
 
 class Counts:
-    """In how many toxic and clean texts each term occurs."""
+    """In how many toxic and clean texts each term of a toxic text occurs."""
 
-    def __init__(self, texts: list[list[str]], labels: np.ndarray):
+    def __init__(self, texts: list[str], labels: np.ndarray):
         self.n = [int((labels == 0).sum()), int((labels == 1).sum())]
         self.by: list[Counter] = [Counter(), Counter()]
-        for tokens, y in zip(texts, labels, strict=True):
-            self.by[int(y)].update({t for w in set(map(plain, tokens)) if w for t in terms_of(w)})
+        for kind in (1, 0):
+            known = self.by[1]
+            for text in (t for t, y in zip(texts, labels, strict=True) if y == kind):
+                terms = {t for w in set(map(plain, text.split())) if w for t in terms_of(w)}
+                self.by[kind].update(terms if kind else (t for t in terms if t in known))
 
     def log_odds(self, term: str, without: int | None = None) -> float:
         """``without``: the class of the one text that is left out."""
@@ -252,12 +255,11 @@ class Model:
             self.constant = float(y.mean()) if len(y) else 0.0
             self.lexicon: dict[str, float] = {}
             return
-        tokens = [(t or "").split() for t in texts]
-        counts = Counts(tokens, y)
+        counts = Counts(texts, y)
         self.lexicon = counts.lexicon()
         # a text of class c is seen with weights that lack one text of class c
         views = [Vectorizer(counts.lexicon(c)) for c in (0, 1)]
-        x = np.stack([summed(views[int(c)].rows(t)) if t else np.zeros(len(FEATURES)) for t, c in zip(tokens, y, strict=True)])
+        x = np.stack([views[int(c)].vector(t) for t, c in zip(texts, y, strict=True)])
         part = np.arange(len(y)) % 4
         margins = np.zeros(len(y))
         for k in range(4):
