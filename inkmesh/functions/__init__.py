@@ -1,0 +1 @@
+"""Column functions: text, JSON replies, Markdown, view geometry."""

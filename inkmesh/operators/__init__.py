@@ -1,0 +1 @@
+"""Operators over the note and link tables."""

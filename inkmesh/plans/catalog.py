@@ -7,15 +7,400 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkmesh.functions import geometry, jsonnotes, markdown, text
+from inkmesh.operators import browse, graph, store
+from inkmesh.plans import ingest
+from inkmesh.sources import views
+from inkmesh.streaming.debounce import debounce_batch
 
-def count_by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.groupBy(F.col("lang").alias("category")).agg(F.count("*").alias("note_count"))
+# --- SQL building blocks ----------------------------------------------------
 
+_WS = r"[\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"count_by_category": count_by_category}
+
+def _strip(e: str) -> str:
+    return f"regexp_replace(regexp_replace({e}, '^{_WS}+', ''), '{_WS}+$', '')"
+
+
+def _title(e: str) -> str:
+    """SQL of a sanitised title."""
+    line = _strip(f"split_part({e}, chr(10), 1)")
+    out = line
+    for pattern in (rf"^#+{_WS}*", r"\*\*|__|\*|_", "`", "~~", r"!\\[.*?]\(.*?\\\]\)", r"\[.*?\]\[.*?\]", r'[<>:"/\\|?*]'):
+        out = f"regexp_replace({out}, '{pattern}', '', 'g')"
+    return f"CASE WHEN {line} = '' THEN 'Untitled Note' ELSE {_strip(out)} END"
+
+
+_NOTES = f"notes AS (SELECT CAST(doc_id AS VARCHAR) AS id, {_title('text')} AS title, text AS content, lang AS category, doc_id AS seq FROM documents)"
+_LINKS = """links AS (SELECT DISTINCT CAST(d AS VARCHAR) AS source_note_id, CAST(t AS VARCHAR) AS target_note_id FROM (
+  SELECT doc_id AS d, unnest([(7 * doc_id + 3) % n, (13 * doc_id + 5) % n]) AS t FROM documents, (SELECT count(*) AS n FROM documents)))"""
+_NODES = "nodes AS (SELECT id, title, seq, CAST(7919 * seq % 1201 AS DOUBLE) AS x, CAST(104729 * seq % 809 AS DOUBLE) AS y, CAST(length(title) % 90 + 10 AS DOUBLE) AS w, CAST(20 AS DOUBLE) AS h FROM notes)"
+_BOTH = f"WITH {_NOTES}, {_LINKS} "
+_VIEW = f"WITH {_NOTES}, {_LINKS}, {_NODES} "
+_UNDIRECTED = "SELECT source_note_id AS id, target_note_id AS neighbor FROM links UNION SELECT target_note_id, source_note_id FROM links"
+
+#: Notes that single-note queries ask for, and other fixed arguments.
+ONE, CATEGORY, QUERY, UNLINK = "4", "en", "th", ("1", "10")
+_WANTED = "wanted AS (SELECT CAST(doc_id AS VARCHAR) AS source_note_id, CAST((7 * doc_id + 3 + doc_id % 2) % (n + 100) AS VARCHAR) AS target_note_id FROM documents, (SELECT count(*) AS n FROM documents))"
+_TITLE_EXPR = "CASE WHEN title = '' THEN 'Untitled Note' ELSE title END"
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(name: str, sql: str | None = None):
+    def keep(f: Query) -> Query:
+        _QUERIES[name] = f
+        if sql:
+            _SQL[name] = sql
+        return f
+
+    return keep
+
+
+# --- browsing ---------------------------------------------------------------
+
+
+@_query("sanitized_titles", f"WITH {_NOTES} SELECT id, title FROM notes")
+def sanitized_titles(spark, d):
+    return views.notes(spark, d).select("id", "title")
+
+
+@_query("count_by_category", f"WITH {_NOTES} SELECT category, count(*) AS note_count FROM notes GROUP BY category")
+def count_by_category(spark, d):
+    return browse.count_by_category(views.notes(spark, d))
+
+
+@_query("note_count_all", "SELECT count(*) AS note_count FROM documents")
+def note_count_all(spark, d):
+    return browse.note_count(views.notes(spark, d), text.ALL_NOTES)
+
+
+@_query("note_count_one", f"SELECT count(*) AS note_count FROM documents WHERE lang = '{CATEGORY}'")
+def note_count_one(spark, d):
+    return browse.note_count(views.notes(spark, d), CATEGORY)
+
+
+@_query("categories_sorted", "SELECT DISTINCT lang AS category FROM documents WHERE lang IS NOT NULL AND lang <> '' ORDER BY 1")
+def categories_sorted(spark, d):
+    return browse.categories(views.notes(spark, d))
+
+
+@_query("notes_metadata", f"WITH {_NOTES} SELECT id, title, category FROM notes")
+def notes_metadata(spark, d):
+    return browse.metadata(views.notes(spark, d))
+
+
+@_query("notes_in_category", f"WITH {_NOTES} SELECT id, title, category FROM notes WHERE category = '{CATEGORY}'")
+def notes_in_category(spark, d):
+    return browse.metadata(browse.in_selection(views.notes(spark, d), CATEGORY))
+
+
+@_query("search_titles", f"WITH {_NOTES} SELECT id, title FROM notes WHERE contains(lower(title), '{QUERY}') AND id <> '{ONE}'")
+def search_titles(spark, d):
+    return browse.search(views.notes(spark, d), QUERY, ONE).select("id", "title")
+
+
+@_query("title_first_wins", f"WITH {_NOTES} SELECT title, arg_min(id, seq) AS id FROM notes GROUP BY title")
+def title_first_wins(spark, d):
+    return browse.title_first(views.notes(spark, d))
+
+
+@_query("title_last_wins", f"WITH {_NOTES} SELECT title, arg_max(id, seq) AS id FROM notes GROUP BY title")
+def title_last_wins(spark, d):
+    return browse.title_last(views.notes(spark, d))
+
+
+@_query("note_by_id", f"WITH {_NOTES} SELECT id, title, content, category FROM notes WHERE id = '{ONE}'")
+def note_by_id(spark, d):
+    return browse.note(views.notes(spark, d), ONE)
+
+
+@_query("note_content", f"WITH {_NOTES} SELECT content FROM notes WHERE id = '{ONE}'")
+def note_content(spark, d):
+    return browse.note_content(views.notes(spark, d), ONE)
+
+
+@_query("open_by_id", f"WITH {_NOTES} SELECT id, title, category, content FROM notes WHERE id = '{ONE}' AND seq = (SELECT max(seq) FROM notes m WHERE m.title = (SELECT title FROM notes WHERE id = '{ONE}'))")
+def open_by_id(spark, d):
+    return browse.open_by_id(views.notes(spark, d), ONE)
+
+
+@_query("open_by_title", f"WITH {_NOTES} SELECT id, title, category, content FROM notes WHERE title = (SELECT title FROM notes WHERE id = '{ONE}') ORDER BY seq DESC LIMIT 1")
+def open_by_title(spark, d):
+    """The title map joined once: the latest note with the title of a given note."""
+    n = views.notes(spark, d)
+    asked = n.where(F.col("id") == ONE).select("title")
+    latest = n.join(F.broadcast(asked), "title", "left_semi").groupBy("title").agg(F.max_by(F.struct("id", "category", "content"), "seq").alias("n"))
+    return latest.select("n.id", "title", "n.category", "n.content")
+
+
+# --- graph ------------------------------------------------------------------
+
+
+@_query("neighbors_one", f"WITH {_LINKS} SELECT neighbor FROM ({_UNDIRECTED}) WHERE id = '{ONE}'")
+def neighbors_one(spark, d):
+    return graph.neighbors_of(views.links(spark, d), ONE)
+
+
+@_query("neighbors_all", f"WITH {_LINKS} {_UNDIRECTED}")
+def neighbors_all(spark, d):
+    return graph.both_ways(views.links(spark, d))
+
+
+@_query("linked_titles", f"{_BOTH} SELECT u.id, neighbor, title FROM ({_UNDIRECTED}) u JOIN notes ON notes.id = neighbor")
+def linked_titles(spark, d):
+    return graph.linked_titles(views.notes(spark, d), views.links(spark, d))
+
+
+@_query("induced_subgraph", f"{_BOTH} SELECT * FROM links WHERE source_note_id IN (SELECT id FROM notes WHERE category = '{CATEGORY}') AND target_note_id IN (SELECT id FROM notes WHERE category = '{CATEGORY}')")
+def induced_subgraph(spark, d):
+    return graph.induced_subgraph(views.notes(spark, d), views.links(spark, d), CATEGORY)[1]
+
+
+@_query(
+    "view_counts",
+    f"{_BOTH} SELECT (SELECT count(*) FROM notes WHERE category = '{CATEGORY}') AS notes, (SELECT count(*) FROM links WHERE source_note_id IN (SELECT id FROM notes WHERE category = '{CATEGORY}') AND target_note_id IN (SELECT id FROM notes WHERE category = '{CATEGORY}')) AS links",
+)
+def view_counts(spark, d):
+    return graph.view_counts(*graph.induced_subgraph(views.notes(spark, d), views.links(spark, d), CATEGORY))
+
+
+# --- mutations --------------------------------------------------------------
+
+
+@_query("delete_note", f"WITH {_LINKS} SELECT * FROM links WHERE source_note_id <> '{ONE}' AND target_note_id <> '{ONE}'")
+def delete_note(spark, d):
+    n = views.notes(spark, d)
+    return store.delete_notes(n, views.links(spark, d), n.where(F.col("id") == ONE))[1]
+
+
+@_query("delete_note_rows", f"WITH {_NOTES} SELECT id, title FROM notes WHERE id <> '{ONE}'")
+def delete_note_rows(spark, d):
+    n = views.notes(spark, d)
+    return store.delete_notes(n, views.links(spark, d), n.where(F.col("id") == ONE))[0].select("id", "title")
+
+
+@_query("delete_category_links", f"{_BOTH} SELECT * FROM links WHERE source_note_id NOT IN (SELECT id FROM notes WHERE category = '{CATEGORY}') AND target_note_id NOT IN (SELECT id FROM notes WHERE category = '{CATEGORY}')")
+def delete_category_links(spark, d):
+    return store.delete_category(views.notes(spark, d), views.links(spark, d), CATEGORY)[1]
+
+
+@_query("unlink_note", f"WITH {_LINKS} SELECT * FROM links WHERE NOT (source_note_id = '{UNLINK[0]}' AND target_note_id = '{UNLINK[1]}')")
+def unlink_note(spark, d):
+    return store.unlink(views.links(spark, d), *UNLINK)
+
+
+def _wanted_links(spark, d):
+    docs = views.table(spark, d, "documents").select("doc_id")
+    rows = docs.join(F.broadcast(docs.agg(F.count("*").alias("n"))), F.lit(True))
+    i = F.col("doc_id")
+    return rows.select(i.cast("string").alias("source_note_id"), ((7 * i + 3 + i % 2) % (F.col("n") + 100)).cast("string").alias("target_note_id"))
+
+
+@_query("link_insert_ignore", f"{_BOTH}, {_WANTED} SELECT * FROM links UNION SELECT * FROM wanted WHERE source_note_id IN (SELECT id FROM notes) AND target_note_id IN (SELECT id FROM notes)")
+def link_insert_ignore(spark, d):
+    return store.insert_valid_links(views.notes(spark, d), views.links(spark, d), _wanted_links(spark, d))
+
+
+@_query(
+    "link_status",
+    f"{_BOTH}, {_WANTED} SELECT source_note_id, target_note_id, (source_note_id, target_note_id) NOT IN (SELECT (source_note_id, target_note_id) FROM links) AND source_note_id IN (SELECT id FROM notes) AND target_note_id IN (SELECT id FROM notes) AS added FROM wanted",
+)
+def link_status(spark, d):
+    return store.link_status(views.notes(spark, d), views.links(spark, d), _wanted_links(spark, d))
+
+
+@_query(
+    "save_replay",
+    f"""WITH {_NOTES} SELECT {_TITLE_EXPR} AS title, arg_min(id, seq) AS id, arg_max_null(content, seq) AS content, arg_max_null(category, seq) AS category,
+  TIMESTAMP '2024-01-01' + to_seconds(min(seq)) AS created_at, TIMESTAMP '2024-01-01' + to_seconds(max(seq)) AS updated_at FROM notes GROUP BY 1""",
+)
+def save_replay(spark, d):
+    """Saves every document, in order, into an empty store."""
+    n = views.notes(spark, d)
+    ts = (F.lit("2024-01-01").cast("timestamp_ntz") + F.make_interval(secs=F.col("seq"))).cast("timestamp_ntz")
+    saves = n.select(F.col("seq").alias("pos"), "id", "content", "category", ts.alias("ts"))
+    empty = n.limit(0).select("id", "title", "content", "category", ts.alias("created_at"), ts.alias("updated_at"), "seq")
+    return store.save_new(empty, saves).select("title", "id", "content", "category", "created_at", "updated_at")
+
+
+_NEW_TITLE = "CASE WHEN seq % 5 = 0 THEN '##' WHEN seq % 5 = 1 THEN '  ' ELSE '# ' || title || ' *2*' END"
+
+
+@_query("rename_notes", f"WITH {_NOTES}, r AS (SELECT *, {_title(f'({_NEW_TITLE})')} AS t FROM notes) SELECT id, CASE WHEN t = '' THEN title ELSE t END AS title, CASE WHEN t = '' THEN category ELSE 'renamed' END AS category FROM r")
+def rename_notes(spark, d):
+    n = views.notes(spark, d).withColumn("updated_at", F.lit(None).cast("timestamp_ntz"))
+    return store.rename_notes(n, _renames(n)).select("id", "title", "category")
+
+
+def _renames(n):
+    asked = F.when(F.col("seq") % 5 == 0, "##").when(F.col("seq") % 5 == 1, "  ").otherwise(F.concat(F.lit("# "), "title", F.lit(" *2*")))
+    return n.select("id", asked.alias("new_title"), F.lit("renamed").alias("category"), F.lit("2024-01-01").cast("timestamp_ntz").alias("ts"))
+
+
+@_query("rename_status", f"WITH {_NOTES}, r AS (SELECT *, {_title(f'({_NEW_TITLE})')} AS t FROM notes) SELECT id, t <> '' AS ok, CASE WHEN t = '' THEN 'the title is empty' ELSE t END AS result FROM r")
+def rename_status(spark, d):
+    n = views.notes(spark, d)
+    return store.rename_status(n, _renames(n))
+
+
+@_query("settings_lww", "SELECT user_id || '/' || event_type AS key, arg_max_null(value, event_id) AS value FROM events GROUP BY 1")
+def settings_lww(spark, d):
+    return store.settings_after(views.settings_log(spark, d))
+
+
+# --- ingest -----------------------------------------------------------------
+
+_CONNECTIONS = f"wanted AS (SELECT id AS source_note_id, {_title('raw')} AS title FROM (SELECT n.id, CASE WHEN n.seq % 6 = 5 THEN 'No Such Title ' || n.id ELSE t.title END AS raw FROM notes n JOIN (SELECT seq, title FROM notes) t ON t.seq = (n.seq * 31 + 7) % (SELECT count(*) FROM notes)))"
+
+
+def _connections(n):
+    count = n.agg(F.count("*").alias("n"))
+    asked = n.select("id", "seq").join(F.broadcast(count), F.lit(True)).withColumn("at", (F.col("seq") * 31 + 7) % F.col("n"))
+    target = n.select(F.col("seq").alias("at"), F.col("title").alias("raw_title"))
+    raw = F.when(F.col("seq") % 6 == 5, F.concat(F.lit("No Such Title "), "id")).otherwise(F.col("raw_title"))
+    return asked.join(target, "at").select(F.col("id").alias("source_note_id"), text.sanitize_title(raw).alias("title"))
+
+
+@_query("resolve_connections", f"WITH {_NOTES}, {_CONNECTIONS}, m AS (SELECT title, arg_max(id, seq) AS id FROM notes GROUP BY title) SELECT source_note_id, m.id AS target_note_id FROM wanted JOIN m USING (title)")
+def resolve_connections(spark, d):
+    n = views.notes(spark, d)
+    return graph.resolve(_connections(n), browse.title_last(n))[0]
+
+
+@_query("unresolved_connections", f"WITH {_NOTES}, {_CONNECTIONS} SELECT source_note_id, title FROM wanted WHERE title NOT IN (SELECT title FROM notes)")
+def unresolved_connections(spark, d):
+    n = views.notes(spark, d)
+    return graph.resolve(_connections(n), browse.title_last(n))[1]
+
+
+#: A quarter of the documents stand for generated notes: title, content and two connections each.
+_GENERATED = """generated AS (SELECT 'b' || CAST(doc_id % 3 AS VARCHAR) AS batch_id, doc_id AS pos, 'g' || CAST(doc_id AS VARCHAR) AS id, raw AS gtitle, content, lang AS general_title, raws FROM (
+  SELECT d.doc_id, d.lang, split_part(d.text, chr(10), 1) AS raw, 'see ' || CAST(d.doc_id AS VARCHAR) AS content, [split_part(e.text, chr(10), 1), 'Missing ' || CAST(d.doc_id AS VARCHAR)] AS raws
+  FROM documents d JOIN documents e ON e.doc_id = d.doc_id * 3 % (SELECT count(*) FROM documents)))"""
+_FRESH = f"fresh AS (SELECT batch_id, pos, id, '# ' || gtitle || chr(10) || chr(10) || content AS content, {_title("('# ' || gtitle || chr(10) || chr(10) || content)")} AS title, general_title AS category, raws FROM generated)"
+
+
+def _generated(spark, d):
+    docs = views.table(spark, d, "documents").select("doc_id", "lang", F.split("text", "\n", 2)[0].alias("raw"))
+    rows = docs.join(F.broadcast(docs.agg(F.count("*").alias("n"))), F.lit(True)).withColumn("at", F.col("doc_id") * 3 % F.col("n"))
+    other = docs.select(F.col("doc_id").alias("at"), F.col("raw").alias("other"))
+    i = F.col("doc_id")
+    return rows.join(other, "at").select(
+        F.concat(F.lit("b"), (i % 3).cast("string")).alias("batch_id"), i.alias("pos"), F.col("raw").alias("title"), F.concat(F.lit("see "), i.cast("string")).alias("content"), F.col("lang").alias("general_title"),
+        F.array(F.col("other"), F.concat(F.lit("Missing "), i.cast("string"))).alias("connections"),
+    )
+
+
+def _fresh(spark, d):
+    return ingest.new_notes(_generated(spark, d), F.concat(F.lit("g"), F.col("pos").cast("string")), F.lit("2024-01-01").cast("timestamp_ntz"))
+
+
+@_query("ingest_notes", f"WITH {_GENERATED}, {_FRESH} SELECT id, title, content, category FROM fresh")
+def ingest_notes(spark, d):
+    return _fresh(spark, d).select("id", "title", "content", "category")
+
+
+@_query("title_map_priority", f"WITH {_GENERATED}, {_FRESH} SELECT batch_id, title, arg_max(id, pos) AS id FROM fresh GROUP BY batch_id, title")
+def title_map_priority(spark, d):
+    return ingest.title_map(views.notes(spark, d), _fresh(spark, d))
+
+
+_INGEST = f"""WITH {_NOTES}, {_GENERATED}, {_FRESH}, own AS (SELECT batch_id, title, arg_max(id, pos) AS id FROM fresh GROUP BY batch_id, title),
+ old AS (SELECT title, arg_max(id, seq) AS id FROM notes GROUP BY title),
+ wanted AS (SELECT batch_id, id AS source_note_id, {_title('raw')} AS title FROM (SELECT batch_id, id, unnest(raws) AS raw FROM fresh)),
+ found AS (SELECT w.batch_id, w.source_note_id, w.title, coalesce(own.id, old.id) AS target_note_id FROM wanted w LEFT JOIN own ON own.batch_id = w.batch_id AND own.title = w.title LEFT JOIN old ON old.title = w.title) """
+
+
+@_query("ingest_links", _INGEST + "SELECT DISTINCT source_note_id, target_note_id FROM found WHERE target_note_id IS NOT NULL")
+def ingest_links(spark, d):
+    return ingest.new_links(views.notes(spark, d), _fresh(spark, d))[0]
+
+
+@_query("ingest_unresolved", _INGEST + "SELECT batch_id, source_note_id, title FROM found WHERE target_note_id IS NULL")
+def ingest_unresolved(spark, d):
+    return ingest.new_links(views.notes(spark, d), _fresh(spark, d))[1]
+
+
+@_query("parse_replies", """SELECT CAST(event_id AS VARCHAR) AS batch_id, 0 AS pos, 'k' || CAST(json_extract(props, '$.k') AS VARCHAR) AS title, props AS content, 'AI Generated' AS general_title FROM events""")
+def parse_replies(spark, d):
+    """Event properties wrapped as a generator's fenced replies, parsed strictly."""
+    e = views.table(spark, d, "events")
+    quoted = F.to_json(F.struct(F.concat(F.lit("k"), F.get_json_object("props", "$.k")).alias("title"), F.col("props").alias("content")))
+    replies = e.select(F.col("event_id").alias("batch_id"), F.concat(F.lit("```json\n["), quoted, F.lit("]\n```")).alias("reply"))
+    return jsonnotes.generated_notes(replies).select("batch_id", "pos", "title", "content", "general_title")
+
+
+@_query("parse_event_props", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def parse_event_props(spark, d):
+    return views.table(spark, d, "events").select("event_id", jsonnotes.json_number(F.col("props"), "k").alias("k"))
+
+
+@_query("page_links", """SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages""")
+def page_links(spark, d):
+    return views.table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1))).alias("href"))
+
+
+# --- graph view -------------------------------------------------------------
+
+_W, _H = 800.0, 600.0
+
+
+@_query(
+    "view_bbox_zoom",
+    f"""{_VIEW}, box AS (SELECT min(x - w / 2) AS min_x, max(x + w / 2) AS max_x, min(y - h / 2) AS min_y, max(y + h / 2) AS max_y FROM nodes), m AS (SELECT *, max_x - min_x AS map_width, max_y - min_y AS map_height FROM box),
+ z AS (SELECT *, CASE WHEN map_width <> 0 AND map_height <> 0 THEN least({_W} / map_width, {_H} / map_height) * CAST(0.9 AS DOUBLE) END AS zoom FROM m)
+ SELECT min_x, max_x, min_y, max_y, map_width, map_height, round(zoom, 6) AS zoom, round(-min_x + (CAST({_W} AS DOUBLE) / zoom - map_width) / 2, 6) AS offset_x, round(-min_y + (CAST({_H} AS DOUBLE) / zoom - map_height) / 2, 6) AS offset_y FROM z""",
+)
+def view_bbox_zoom(spark, d):
+    v = geometry.fit_view(views.nodes(spark, d), _W, _H)
+    return v.withColumns({c: F.round(c, 6) for c in ("zoom", "offset_x", "offset_y")})
+
+
+@_query("node_rectangles", f'{_VIEW} SELECT id, x - w / 2 AS "left", y - h / 2 AS top, w AS width, h AS height FROM nodes')
+def node_rectangles(spark, d):
+    return geometry.rectangles(views.nodes(spark, d)).select("id", "left", "top", "width", "height")
+
+
+@_query(
+    "edge_arrows",
+    f"""{_VIEW}, p AS (SELECT source_note_id, target_note_id, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2 FROM links JOIN nodes a ON a.id = source_note_id JOIN nodes b ON b.id = target_note_id)
+ SELECT source_note_id, target_note_id, round(x2 - 8 * cos(atan2(y2 - y1, x2 - x1) - pi() / 6), 6) AS ax, round(y2 - 8 * sin(atan2(y2 - y1, x2 - x1) - pi() / 6), 6) AS ay,
+ round(x2 - 8 * cos(atan2(y2 - y1, x2 - x1) + pi() / 6), 6) AS bx, round(y2 - 8 * sin(atan2(y2 - y1, x2 - x1) + pi() / 6), 6) AS by FROM p""",
+)
+def edge_arrows(spark, d):
+    a = graph.link_arrows(views.nodes(spark, d), views.links(spark, d))
+    return a.select("source_note_id", "target_note_id", *[F.round(c, 6).alias(c) for c in ("ax", "ay", "bx", "by")])
+
+
+_POINT = (5.0, 5.0)
+
+
+@_query("hit_test", f"{_VIEW} SELECT id FROM nodes WHERE {_POINT[0]} BETWEEN x - w / 2 AND x + w / 2 AND {_POINT[1]} BETWEEN y - h / 2 AND y + h / 2 ORDER BY seq LIMIT 1")
+def hit_test(spark, d):
+    return geometry.hit_test(views.nodes(spark, d), *_POINT).select("id")
+
+
+# --- interactive analogues --------------------------------------------------
+
+
+@_query("debounce_events", "SELECT event_id, user_id FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events) WHERE n IS NULL OR n - ts >= INTERVAL 1 HOUR")
+def debounce_events(spark, d):
+    return debounce_batch(views.table(spark, d, "events")).select("event_id", "user_id")
+
+
+@_query("markdown_html")
+def markdown_html(spark, d):
+    """Preview of every note (the documented Markdown subset; tests hold it against fixed cases)."""
+    n = views.notes(spark, d)
+    return n.select("id", markdown.to_html(F.col("content")).alias("html"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"count_by_category": "SELECT lang AS category, count(*) AS note_count FROM documents GROUP BY lang"}
+    return dict(_SQL)

@@ -1,0 +1 @@
+"""Streaming analogues of the interactive behaviour."""
