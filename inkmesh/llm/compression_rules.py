@@ -67,7 +67,7 @@ def band_of(size: int, bands) -> tuple[float, float]:
 
 
 def chunks_of(raw: bytes, size: int) -> list[bytes]:
-    cuts = list(range(0, len(raw), size))
+    cuts = list(range(0, max(1, len(raw)), size))
     if len(cuts) > 1 and len(raw) - cuts[-1] < size // 2:
         cuts.pop()
     return [raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)], strict=True)]

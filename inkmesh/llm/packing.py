@@ -44,7 +44,6 @@ GROUP_TOKENS = 1 << 16
 OPEN_GROUPS = 8
 #: Strings whose ids a Python worker remembers before it starts anew.
 MAX_REMEMBERED = 1_000_000
-_BREAKS = str.maketrans("\t\n\r", "   ")
 _MARKS = ".,;:!?"
 #: Tokenizer settings under which a text's ids are those of its letter runs, lower-cased, and of the signs between.
 _WORD_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
@@ -113,7 +112,7 @@ class Encoder:
     def encode(self, text: str | None) -> bytes:
         if not self.by_word:
             return self._whole([text or ""])[0] + self.end
-        words = (text or "").translate(_BREAKS).split(" ")
+        words = (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
         try:
             return b"".join(map(self.known.__getitem__, words)) + self.end
         except KeyError:
