@@ -93,9 +93,11 @@ class Automaton:
                         p = link[p]
                     link[q] = link[cur] = clone
             last = cur
-        step = step[:count]
-        restart = np.where(step[0] == -1, 0, step[0])
+        # one more state follows a letter that the language lacks: whatever comes next starts a phrase
+        step = np.vstack([step[:count], np.full((1, width), -1, np.int32)])
+        restart = np.where(step[0] == -1, count, step[0])
         self.table = np.where(step == -1, ~restart[None, :], step).astype(np.int32)
+        self.table[0] = restart  # only the first letter of a text is read at the root, and its phrase is counted already
         self.cost = math.log2(max(2, n))
 
 
