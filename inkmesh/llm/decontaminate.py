@@ -173,13 +173,14 @@ def decontaminate(
     item_id: str = "item_id",
     item_text: str = "text",
     window: int = 13,
-    min_hit_share: float = 0.05,
+    words_per_hit: int = 20,
     max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
     into: str = "decontamination",
 ) -> DataFrame:
     """``docs`` with a struct column ``into``: n_words, n_hit, spans, item_ids, contaminated.
 
-    The benchmark is measured first.  Up to ``max_broadcast_bytes`` of it are
+    A document is contaminated if at least one word in ``words_per_hit`` is
+    hit.  The benchmark is measured first.  Up to ``max_broadcast_bytes`` of it are
     sent to the executors at once; a larger one is dealt by item into as many
     blocks as needed and the documents pass one block after the other, each
     adding its spans and items, with no shuffle of the documents.
@@ -197,7 +198,5 @@ def decontaminate(
         value = first(F.col(text)) if k == 0 else later(F.col(text), F.col(marker))
         out = attach(out, marker, value)
     r = F.col(marker)
-    verdict = (r["n_hit"] > 0) & (r["n_hit"] >= F.lit(min_hit_share) * r["n_words"])
-    if min_hit_share == 0.05:  # in whole numbers: 20 * n_hit >= n_words
-        verdict = (r["n_hit"] > 0) & (20 * r["n_hit"] >= r["n_words"])
+    verdict = (r["n_hit"] > 0) & (words_per_hit * r["n_hit"] >= r["n_words"])
     return attach(out, into, F.struct(r["n_words"].alias("n_words"), r["n_hit"].alias("n_hit"), r["spans"].alias("spans"), r["item_ids"].alias("item_ids"), verdict.alias("contaminated"))).drop(marker)

@@ -37,6 +37,9 @@ MIN_TOKEN = 20
 RANDOM_LEVEL = 0.001
 FALSE_DISCOVERY_RATE = 1e-4
 
+#: Matches that are placed in one go.
+BLOCK = 512
+
 KINDS = ("assign", "access", "hex", "random")
 _VALUE = "[A-Za-z0-9+/_.=-]+"
 PATTERNS = {
@@ -61,27 +64,55 @@ ENCODINGS = (
 )
 
 
+_EMPTY = "array<struct<start:int,token:string>>"
+
+
+def _steps(text: Column, pattern: str, tokens: Column) -> Column:
+    """array of struct(gap, token): how far each match starts behind the one before it."""
+    pieces = F.slice(F.split(text, pattern, -1), F.lit(1), F.size(tokens))
+    return F.zip_with(pieces, tokens, lambda gap, t: F.struct(F.length(gap).alias("gap"), t.alias("token")))
+
+
+def _placed(steps: Column, at: Column) -> Column:
+    """Steps from position ``at`` on -> array of struct(start, token).
+
+    The array grows by copying, so ``steps`` is kept short; see ``found``.
+    """
+    return F.aggregate(
+        steps,
+        F.struct(at.alias("at"), F.array().cast(_EMPTY).alias("out")),
+        lambda a, e: F.struct(
+            (a["at"] + e["gap"] + F.length(e["token"])).alias("at"),
+            F.concat(a["out"], F.array(F.struct((a["at"] + e["gap"]).alias("start"), e["token"].alias("token")))).alias("out"),
+        ),
+        lambda a: a["out"],
+    )
+
+
+def _placed_in_blocks(steps: Column) -> Column:
+    """The same, block by block of ``BLOCK`` steps."""
+    cut = F.transform(F.array(steps), lambda s: F.transform(F.sequence(F.lit(0), F.floor((F.size(s) - 1) / BLOCK).cast("int")), lambda b: F.slice(s, b * BLOCK + 1, F.lit(BLOCK))))[0]
+    sized = F.transform(cut, lambda s: F.struct(s.alias("steps"), F.aggregate(s, F.lit(0), lambda n, e: n + e["gap"] + F.length(e["token"])).alias("length")))
+    starts = lambda blocks: F.aggregate(
+        blocks,
+        F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
+        lambda a, s: F.struct((a["at"] + s["length"]).alias("at"), F.concat(a["starts"], F.array(a["at"])).alias("starts")),
+        lambda a: a["starts"],
+    )
+    return F.transform(F.array(sized), lambda blocks: F.flatten(F.zip_with(blocks, starts(blocks), lambda s, at: _placed(s["steps"], at))))[0]
+
+
 def found(text: Column, pattern: str) -> Column:
     """Leftmost non-overlapping matches: array of struct(start, token).
 
     The pieces between the matches give the positions; they are cut only if
-    there is a match at all.
+    there is a match at all.  Many matches are placed in blocks, each from the
+    length of the blocks before it, so that the time stays in proportion.
     """
     tokens = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    empty = F.array().cast("array<struct<start:int,token:string>>")
     return F.transform(
         F.array(tokens),
-        lambda m: F.when(F.size(m) == 0, empty).otherwise(
-            F.aggregate(
-                F.zip_with(F.slice(F.split(text, pattern, -1), F.lit(1), F.size(m)), m, lambda gap, t: F.struct(F.length(gap).alias("gap"), t.alias("token"))),
-                F.struct(F.lit(0).alias("at"), empty.alias("out")),
-                lambda a, e: F.struct(
-                    (a["at"] + e["gap"] + F.length(e["token"])).alias("at"),
-                    F.concat(a["out"], F.array(F.struct((a["at"] + e["gap"]).alias("start"), e["token"].alias("token")))).alias("out"),
-                ),
-                lambda a: a["out"],
-            )
-        ),
+        lambda m: F.when(F.size(m) == 0, F.array().cast(_EMPTY)).when(F.size(m) <= BLOCK, _placed(_steps(text, pattern, m), F.lit(0))).otherwise(_placed_in_blocks(_steps(text, pattern, m))),
     )[0]
 
 

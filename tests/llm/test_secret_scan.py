@@ -89,6 +89,13 @@ def test_against_brute_force(spark):
     assert sum(s[3] == "random" for g in got for s in g[2]) >= 30  # most base64 tokens are found
 
 
+def test_very_many_matches(spark):
+    text = "".join(f"ü {i:030x} token=abcdef{i}, " for i in range(5000))
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = [tuple(s[c] for c in ("start", "rank", "end", "kind")) for s in S.scan_secrets(docs).first()["secrets"]["spans"]]
+    assert got == brute_base(text) and len(got) == 10_000
+
+
 def test_text_like_tokens_are_left_alone(spark):
     words = ["donaudampfschifffahrtsgesellschaft", "getElementByIdentifierFromDocument", "LAAITIONELLEELLEMENTE", "some-long-article-title-about-things", "https/example/org/path/to/the/page", "12345678901234567890123", "thenesblereininging"]
     docs = spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string")
