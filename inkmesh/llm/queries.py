@@ -14,6 +14,7 @@ from inkmesh.llm.decontaminate import decontaminate
 from inkmesh.llm.lsh_forest import jaccard_join
 from inkmesh.llm.packing import pack
 from inkmesh.llm.secret_scan import scan_secrets, spelled
+from inkmesh.llm.secret_scan_sql import secret_scan_sql
 from inkmesh.llm.substring_dedup import repeated_passages
 from inkmesh.llm.warc_zst import read_archives, write_archives
 
@@ -146,4 +147,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontaminate": OP6_SQL, "op7_warc": OP7_SQL}
+    return {"op6_decontaminate": OP6_SQL, "op7_warc": OP7_SQL, "op8_secret_scan": secret_scan_sql()}

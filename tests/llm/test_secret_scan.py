@@ -89,6 +89,20 @@ def test_against_brute_force(spark):
     assert sum(s[3] == "random" for g in got for s in g[2]) >= 30  # most base64 tokens are found
 
 
+def test_sql_equals_brute_force():
+    """The oracle's SQL on the same texts."""
+    import duckdb
+    import pandas as pd
+
+    from inkmesh.llm.secret_scan_sql import secret_scan_sql
+
+    documents = pd.DataFrame({"doc_id": range(len(texts())), "text": texts()})
+    con = duckdb.connect()
+    con.register("documents", documents)
+    got = dict(con.sql(secret_scan_sql()).project("doc_id, spans").fetchall())
+    assert [got[i] for i in range(len(got))] == [",".join(f"{k}:{s}:{e}" for s, _, e, k in brute_spans(t)) for t in texts()]
+
+
 def test_very_many_matches(spark):
     text = "".join(f"ü {i:030x} token=abcdef{i}, " for i in range(5000))
     docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
