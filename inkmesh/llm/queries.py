@@ -125,6 +125,25 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return members.select(F.col("id").alias("doc_id"), "class_id", "n_links", "copy_of")
 
 
+#: All pairs that share a shingle; the forest's links equal them where its buckets are small, as on the test tables.
+OP9_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         list_filter(string_split_regex(lower(coalesce(text, '')), '[\x{09}-\x{0d}\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+'), lambda x: x <> '') AS w
+  FROM documents),
+shingle AS (SELECT DISTINCT rid, array_to_string(w[s:s + least(5, len(w)) - 1], ' ') AS g FROM (SELECT rid, w, unnest(range(1, len(w) - least(5, len(w)) + 2)) AS s FROM d WHERE len(w) > 0)),
+size AS (SELECT rid, count(*) AS n FROM shingle GROUP BY rid),
+common AS (SELECT a.rid AS a, b.rid AS b, count(*) AS c FROM shingle a JOIN shingle b ON a.g = b.g AND a.rid <> b.rid GROUP BY 1, 2),
+link AS (SELECT a, b, c = x.n AND c = y.n AS same FROM common JOIN size x ON x.rid = a JOIN size y ON y.rid = b WHERE c >= 0.8::DOUBLE * (x.n + y.n - c)),
+reach(rid, other) AS (SELECT rid, rid FROM d UNION SELECT r.rid, l.b FROM reach r JOIN link l ON l.a = r.other),
+class AS (SELECT r.rid, min(d.doc_id) AS class_id FROM reach r JOIN d ON d.rid = r.other GROUP BY r.rid),
+copy AS (SELECT a AS rid, min(d.doc_id) AS low FROM link JOIN d ON d.rid = b WHERE same GROUP BY a),
+degree AS (SELECT a AS rid, count(*) AS n FROM link GROUP BY a)
+SELECT d.doc_id, class_id, coalesce(degree.n, 0) AS n_links, least(d.doc_id, coalesce(low, d.doc_id)) AS copy_of
+FROM d JOIN class USING (rid) LEFT JOIN copy USING (rid) LEFT JOIN degree USING (rid)
+"""
+
+
 def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     pieces = pack(docs, public_tokenizer())
@@ -147,4 +166,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontaminate": OP6_SQL, "op7_warc": OP7_SQL, "op8_secret_scan": secret_scan_sql()}
+    return {"op6_decontaminate": OP6_SQL, "op7_warc": OP7_SQL, "op8_secret_scan": secret_scan_sql(), "op9_jaccard_join": OP9_SQL}
