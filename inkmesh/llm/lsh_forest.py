@@ -4,24 +4,24 @@ A text's set is that of its five-word shingles.  The forest has ``trees``
 trees; a tree is the sorted list of ``depth``-value signatures, so texts that
 share a prefix stand together.  Prefixes are shortened from ``depth`` values to
 the longest length ``k`` at which a pair at the threshold meets in some tree
-with the target recall, ``1 - (1 - s^k)^trees``; from there on lengths adapt
-to the buckets:
-
-* a bucket (tree, prefix of ``k`` values) of at most ``small`` texts is joined
-  completely;
-* a larger bucket is joined as a star about one text, drawn anew by hash in
-  each bucket, and its texts go on to their buckets of a longer prefix, until
-  these are small or ``longest`` values are used.  So a bucket of n texts gives
-  O(n) candidates, and a text of a large group meets many different centres.
+with the target recall, ``1 - (1 - s^k)^trees``.  Buckets (tree, prefix of
+``k`` values) are then treated by their size:
+
+* the texts of a bucket of at most ``small`` are joined completely;
+* texts that share a larger bucket, directly or over others, are a *group*.  A
+  group is not spelled out as pairs: its texts are dealt into blocks of about
+  equal set size, and each two blocks whose sizes allow the threshold are
+  compared as a whole, by a product of their text-shingle matrices.  All pairs
+  of a group are so verified exactly, whether they meet in a bucket or not; two
+  blocks give a count of links and a link to a local root for each text, not
+  the links themselves.
 
 Candidates are verified exactly on the shingle sets.  Links join texts to
-classes (connected components); classes are what the join promises: texts whose
-similarity reaches the threshold end in one class, directly or over a common
-neighbour.  A pair at the threshold is found with the target recall if its
-buckets are small; within a group of more than ``small / s^k`` near-duplicates
-it may be missed, and then counts as no link, but each text has many other
-chances to join the class.  Texts with equal sets are collapsed to their smallest id before the
-forest, however many there are, and count as linked to one another.
+classes (connected components).  A pair at the threshold is found with the
+target recall, whatever the size of its group.  A group of n texts costs about
+n^2 / 2 comparisons of sets and sends each set to n / ``BLOCK`` tasks.  Texts
+with equal sets are collapsed to their smallest id before the forest, however
+many there are, and count as linked to one another.
 
 Words are the runs of non-space characters of the lower-cased text.  Defined
 cases: a text of one to four words has one shingle, all of it; a text without
@@ -48,8 +48,10 @@ THRESHOLD = 0.8
 TREES, DEPTH = 24, 8
 TARGET_RECALL = 0.995
 SMALL_BUCKET = 24
-#: Values to which prefixes of texts in large buckets grow.
-LONGEST_PREFIX = 16
+#: Texts, and shingles of them, that a block of a large group has on average at most.
+BLOCK, BLOCK_SHINGLES = 256, 1_000_000
+#: Columns of the text-shingle matrix that are multiplied at once.
+BLOCK_COLUMNS = 4096
 #: A pair is verified unless its signatures agree so much less often than the
 #: threshold that chance does not explain it (in standard deviations).
 SCREEN_DEVIATIONS = 6.0
@@ -200,39 +202,111 @@ def _buckets(tree: Column, signature: Column, depth: int, length: int) -> Column
     return F.xxhash64(tree, F.lit(length), F.substring(F.concat(signature, signature), VALUE_BYTES * depth * tree + 1, F.lit(VALUE_BYTES * length)))
 
 
-def candidates(reps: DataFrame, trees: int, depth: int, first: int, longest: int, small: int, folder: str) -> DataFrame:
-    """Pairs (a < b) of representatives from the forest; ``reps`` has rep and signature.
+def candidates(reps: DataFrame, trees: int, depth: int, length: int, small: int, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(pairs, ties) from the forest; ``reps`` has rep and signature.
 
-    Each round takes a longer prefix, and only texts of buckets that were too
-    large go on.  A bucket of two is its least and greatest id,
-    so only buckets of three or more are joined back to their texts.
+    pairs (a < b): those of buckets of at most ``small``.  ties (a, b): the
+    least text of a larger bucket and each other one.  A bucket of two is its
+    least and greatest id, so only buckets of three or more are joined back to
+    their texts.
     """
-    found = []
     rows = reps.select("rep", "signature", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    lengths = [first]
-    while lengths[-1] < longest:
-        lengths.append(min(longest, lengths[-1] + len(lengths) + 1))
-    for length in lengths:
-        flat = rows.select("rep", "tree", _buckets(F.col("tree"), F.col("signature"), depth, length).alias("bucket"))
-        drawn = F.min_by("rep", F.xxhash64("rep", "bucket"))
-        counted = flat.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("low"), F.max("rep").alias("high"), drawn.alias("centre")).where("n > 1")
-        counted = materialize(counted, folder, f"buckets{length}")
-        found.append(counted.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b")))
-        many = counted.where("n > 2").select("bucket", "n", "centre")
-        met = materialize(flat.join(sized_broadcast(many), "bucket").select("bucket", "n", "centre", "rep", "tree"), folder, f"met{length}")
-        star = met.where((F.col("n") > small) & (F.col("rep") != F.col("centre")))
-        found.append(star.select(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b")))
-        groups = met.where(F.col("n") <= small).groupBy("bucket").agg(F.array_sort(F.collect_list("rep")).alias("m"))  # at most ``small`` each
-        inner = "flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(x as a, y as b))))"
-        found.append(groups.select(F.explode(F.expr(inner)).alias("p")).select("p.a", "p.b"))
-        large = met.where(F.col("n") > small).select("rep", "tree")
-        if length == lengths[-1] or not large.take(1):
-            break
-        rows = reps.select("rep", "signature").join(large, "rep")
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out.where("a < b").distinct()
+    flat = rows.select("rep", _buckets(F.col("tree"), F.col("signature"), depth, length).alias("bucket"))
+    counted = flat.groupBy("bucket").agg(F.count("*").alias("n"), F.min("rep").alias("low"), F.max("rep").alias("high")).where("n > 1")
+    counted = materialize(counted, folder, "buckets")
+    two = counted.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
+    many = counted.where("n > 2").select("bucket", "n", "low")
+    met = materialize(flat.join(sized_broadcast(many), "bucket").select("bucket", "n", "low", "rep"), folder, "bucketed")
+    groups = met.where(F.col("n") <= small).groupBy("bucket").agg(F.array_sort(F.collect_list("rep")).alias("m"))  # at most ``small`` each
+    inner = "flatten(transform(m, (x, i) -> transform(slice(m, i + 2, size(m)), y -> struct(x as a, y as b))))"
+    pairs = two.unionByName(groups.select(F.explode(F.expr(inner)).alias("p")).select("p.a", "p.b")).where("a < b").distinct()
+    ties = met.where(F.col("n") > small).select(F.col("low").alias("a"), F.col("rep").alias("b")).where("a <> b").distinct()
+    return pairs, ties
+
+
+def block_links(sets: list[np.ndarray], first: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(i, j, similarity) of all pairs of ``sets`` that reach the threshold.
+
+    Where ``first`` differs, pairs have one set of each kind; otherwise i < j.
+    """
+    lengths = np.fromiter(map(len, sets), np.int64, len(sets))
+    _, column, met = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(len(sets)), lengths)
+    shared = met[column] > 1  # what one text alone has is in no intersection
+    row, column = row[shared], (np.cumsum(met > 1) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    one = bool(first.all() or not first.any())
+    left = np.arange(len(sets)) if one else np.flatnonzero(first)
+    right = left if one else np.flatnonzero(~first)
+    common = np.zeros((len(left), len(right)))
+    for low in range(0, int(column[-1]) + 1 if len(column) else 0, BLOCK_COLUMNS):
+        s, e = np.searchsorted(column, [low, low + BLOCK_COLUMNS])
+        dense = np.zeros((len(sets), BLOCK_COLUMNS), np.float32)
+        dense[row[s:e], column[s:e] - low] = 1
+        common += dense[left] @ dense[right].T
+    similar = common / (lengths[left][:, None] + lengths[right] - common)
+    i, j = np.nonzero(np.triu(similar >= threshold, 1) if one else similar >= threshold)
+    return left[i], right[j], similar[i, j]
+
+
+def local_roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each of n places, one place of its component of the links (i, j)."""
+    linked = np.zeros((n, n), bool)
+    linked[i, j] = linked[j, i] = True
+    root = np.arange(n)
+    seen = ~linked.any(axis=1)
+    for start in range(n):
+        front = np.array([start] if not seen[start] else [], np.int64)
+        while len(front):
+            seen[front] = True
+            root[front] = start
+            front = np.flatnonzero(linked[front].any(axis=0) & ~seen)
+    return root
+
+
+def cells(groups: DataFrame, threshold: float, folder: str) -> DataFrame:
+    """Rows (rep, copies, first, cell): each text in each pair of blocks that it is compared in.
+
+    ``groups`` has rep, root, size and copies.  Texts are classed by the
+    logarithm of their size, so that texts of classes further than one apart
+    cannot reach the threshold; a class is dealt into blocks by hash.
+    """
+    kind = F.floor(F.log(F.col("size").cast("double")) / float(-np.log(0.99 * threshold)))  # a little wide, so rounding parts no pair
+    groups = materialize(groups.withColumn("kind", kind), folder, "classed")
+    share = F.greatest(F.count("*") / F.lit(BLOCK), F.sum("size") / F.lit(BLOCK_SHINGLES))
+    blocks = materialize(groups.groupBy("root", "kind").agg(F.ceil(share).cast("int").alias("blocks")), folder, "blocks")
+    dealt = groups.join(sized_broadcast(blocks), ["root", "kind"]).withColumn("block", F.pmod(F.xxhash64("rep", F.lit("block")), F.col("blocks")).cast("int"))
+    dealt = materialize(dealt, folder, "dealt")
+    next_to = lambda d: dealt.join(sized_broadcast(blocks.select("root", (F.col("kind") - d).alias("kind"), F.col("blocks").alias("theirs"))), ["root", "kind"])
+    found = []
+    for d in (0, 1, -1):
+        other = F.struct((F.col("kind") + d).alias("kind"), F.col("other").alias("block"))
+        own = F.struct("kind", "block")
+        each = next_to(d).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("theirs") - 1)))
+        found.append(each.select("rep", "copies", (own <= other).alias("first"), F.xxhash64("root", F.least(own, other), F.greatest(own, other)).alias("cell")))
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
+def compared(placed: DataFrame, threshold: float, spelled: bool) -> DataFrame:
+    """All links within cells; ``placed`` has rep, copies, first, cell and shingles.
+
+    ``spelled``: the links (a < b, similarity).  Otherwise a row for each linked
+    text of a cell: rep, its links in documents, and a text it is joined with.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        rep, copies, first = (table[c].to_numpy() for c in ("rep", "copies", "first"))
+        i, j, similar = block_links([x.values.to_numpy() for x in table["shingles"]], first, threshold)
+        if spelled:
+            return pa.table({"a": np.minimum(rep[i], rep[j]), "b": np.maximum(rep[i], rep[j]), "similarity": similar})
+        linked = np.zeros(len(rep), np.int64)
+        np.add.at(linked, i, copies[j])
+        np.add.at(linked, j, copies[i])
+        some = np.flatnonzero(linked)
+        return pa.table({"rep": rep[some], "linked": linked[some], "root": rep[local_roots(len(rep), i, j)[some]]})
+
+    return placed.groupBy("cell").applyInArrow(run, "a long, b long, similarity double" if spelled else "rep long, linked long, root long")
 
 
 def agreement(a: Column, b: Column, n: int) -> Column:
@@ -241,15 +315,12 @@ def agreement(a: Column, b: Column, n: int) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), F.lit(0), lambda s, i: s + (F.substring(x, 2 * i + 1, F.lit(2)) == F.substring(y, 2 * i + 1, F.lit(2))).cast("int")) / F.lit(float(n))
 
 
-def verified(pairs: DataFrame, reps: DataFrame, source: DataFrame, threshold: float, width: int, n: int, folder: str) -> DataFrame:
-    """The pairs whose sets reach the threshold, with their exact similarity.
-
-    Sizes and the signatures' low bytes screen the pairs first, so only likely
-    ones are joined with whole sets; only texts in such pairs are cut into
-    shingles again.
-    """
+def screened(pairs: DataFrame, groups: DataFrame, reps: DataFrame, threshold: float, n: int, folder: str) -> DataFrame:
+    """The pairs that sizes and the signatures' low bytes do not rule out, without those of one group."""
     least = threshold - SCREEN_DEVIATIONS * (threshold * (1 - threshold) / n) ** 0.5
-    pairs = materialize(pairs, folder, "pairs")
+    of = lambda p: sized_broadcast(groups.select(F.col("rep").alias(p), F.col("root").alias(f"{p}_root")))
+    apart = F.col("a_root").isNull() | F.col("b_root").isNull() | (F.col("a_root") != F.col("b_root"))
+    pairs = materialize(pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").where(apart).select("a", "b"), folder, "pairs")
     met = materialize(pairs.select(F.col("a").alias("rep")).distinct().union(pairs.select("b").distinct()).distinct(), folder, "met")
     known = reps.join(sized_broadcast(met), "rep", "left_semi")
     side = lambda p: known.select(*[F.col(c).alias(f"{p}_{c}" if c != "rep" else p) for c in ("rep", "low", "size")])
@@ -262,8 +333,12 @@ def verified(pairs: DataFrame, reps: DataFrame, source: DataFrame, threshold: fl
         .select("a", "b")
         .distinct()
     )
-    likely = materialize(likely, folder, "likely")
-    used = reps.join(likely.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "rep", "left_semi").select("rep", "id").distinct()
+    return materialize(likely, folder, "likely")
+
+
+def sets_of(wanted: DataFrame, reps: DataFrame, source: DataFrame, width: int, folder: str) -> DataFrame:
+    """(rep, shingles) of the texts in ``wanted``; only their documents are cut into shingles again."""
+    used = reps.join(sized_broadcast(materialize(wanted, folder, "wanted")), "rep", "left_semi").select("rep", "id").distinct()
     used = materialize(used, folder, "used")
     ids = materialize(used.select(F.col("id").alias("used_id")).distinct(), folder, "used_ids")
     chosen = source.join(sized_broadcast(ids), F.col("id").eqNullSafe(F.col("used_id")), "left_semi")
@@ -271,6 +346,11 @@ def verified(pairs: DataFrame, reps: DataFrame, source: DataFrame, threshold: fl
     sets = materialize(sets.join(sized_broadcast(used.select("rep").distinct()), "rep", "left_semi"), folder, "sets")
     if sets.count() != used.count():  # repeated rows
         sets = materialize(sets.dropDuplicates(["rep"]), folder, "sets_once")
+    return sets
+
+
+def verified(likely: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs whose sets reach the threshold, with their exact similarity."""
     set_of = lambda p: sets.select(F.col("rep").alias(p), F.col("shingles").alias(f"{p}_set"))
     both = set_of("a").join(sized_broadcast(likely), "a").join(set_of("b"), "b").withColumn("common", F.size(F.array_intersect("a_set", "b_set")))
     return both.select("a", "b", (F.col("common") / (F.size("a_set") + F.size("b_set") - F.col("common"))).alias("similarity")).where(F.col("similarity") >= threshold)
@@ -343,7 +423,6 @@ def jaccard_join(
     depth: int = DEPTH,
     target_recall: float = TARGET_RECALL,
     small: int = SMALL_BUCKET,
-    longest: int = LONGEST_PREFIX,
     folder: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(members, links).
@@ -352,7 +431,7 @@ def jaccard_join(
     null without words), ``text_hash`` (of the text as it stands),
     ``class_key`` (names the class, even if all its ids are null),
     ``class_id`` (smallest id of its class), ``copy_of`` (smallest id with an equal set) and ``n_links`` (copies and
-    verified links, counted in documents).  links: verified pairs of sets by
+    verified links, counted in documents).  links: all verified pairs of sets by
     the smallest ids of their copies: ``a_id``, ``b_id``, ``similarity``.
     """
     folder = folder or shared_dir(docs.sparkSession)
@@ -367,11 +446,19 @@ def jaccard_join(
     copied = materialize(reps.where("copies > 1").select(F.col("rep").alias("r"), F.col("id").alias("i")), folder, "copied")
     first_only = worded.join(sized_broadcast(copied), F.col("rep") == F.col("r"), "left").where(F.col("r").isNull() | F.col("id").eqNullSafe(F.col("i")))
     wide = first_only.select("rep", "id", "size", "signature", "low")
-    pairs = candidates(wide, trees, depth, prefix_length(threshold, trees, depth, target_recall), longest, small, folder)
-    links = materialize(verified(pairs, wide, source, threshold, width, n, folder), folder, "links")
-    roots = components(links, folder)
+    pairs, ties = candidates(wide, trees, depth, prefix_length(threshold, trees, depth, target_recall), small, folder)
+    groups = materialize(components(ties, f"{folder}/groups"), folder, "grouped")
+    likely = screened(pairs, groups, wide, threshold, n, folder)
+    ends = likely.select(F.col("a").alias("rep")).distinct().union(likely.select("b").distinct())
+    sets = sets_of(ends.union(groups.select("rep")).distinct(), wide, source, width, folder)
+    links = materialize(verified(likely, sets, threshold), folder, "links")
+    sized = wide.join(sized_broadcast(groups), "rep").groupBy("rep", "root").agg(F.max("size").alias("size")).join(reps.select("rep", "copies"), "rep")
+    placed_sets = cells(sized, threshold, folder).join(sets, "rep")
+    counts = materialize(compared(placed_sets, threshold, spelled=False), folder, "counts")
+    roots = components(links.select("a", "b").unionByName(counts.select(F.col("rep").alias("a"), F.col("root").alias("b"))), folder)
     ends = links.select(F.col("a").alias("rep"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("rep"), F.col("a").alias("other")))
-    degree = ends.join(reps.select(F.col("rep").alias("other"), "copies"), "other").groupBy("rep").agg(F.sum("copies").alias("linked"))
+    degree = ends.join(reps.select(F.col("rep").alias("other"), "copies"), "other").select("rep", F.col("copies").alias("linked"))
+    degree = degree.unionByName(counts.select("rep", "linked")).groupBy("rep").agg(F.sum("linked").alias("linked"))
     placed = roots.join(reps, "rep")
     smallest = placed.groupBy("root").agg(F.min("id").alias("class_id"))
     linked = placed.join(smallest, "root").join(degree, "rep").select("rep", "id", "copies", "class_id", "root", "linked")
@@ -387,5 +474,6 @@ def jaccard_join(
         )
     )
     named = reps.select("rep", "id")
+    links = links.unionByName(compared(placed_sets, threshold, spelled=True))  # spelled out only if they are read
     links = links.join(named.select(F.col("rep").alias("a"), F.col("id").alias("a_id")), "a").join(named.select(F.col("rep").alias("b"), F.col("id").alias("b_id")), "b").select("a_id", "b_id", "similarity")
     return members, links

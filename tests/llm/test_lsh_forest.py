@@ -139,3 +139,37 @@ def test_minhash_estimates_similarity():
     b = np.concatenate([a[:400], np.unique(rng.integers(0, 1 << 63, 100, dtype=np.uint64))])
     s = L.signatures([a, b], 512)
     assert abs((s[0] == s[1]).mean() - 400 / 600) < 0.08
+
+
+def large_group(n, seed, partners=0):
+    """Texts of 200 words, 1 to 3 of them changed, at 0.75 to 0.92 of one another, and two further ones of each of ``partners`` texts."""
+    rng = random.Random(seed)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+
+    def changed(words, k):
+        w = list(words)
+        for _ in range(k):
+            w[rng.randrange(200)] = f"x{rng.randrange(10**6)}"
+        rows.append((len(rows), " ".join(w)))
+        return w
+
+    for i in range(n):
+        changed(base, 1 + i % 3)
+    for _ in range(partners):  # similar to one another, hardly to the group
+        far = changed(base, 6)
+        changed(far, 1)
+    return rows
+
+
+def test_every_link_of_a_large_group_is_counted(spark):
+    rows = large_group(300, 11, partners=10)
+    docs = spark.createDataFrame([*rows, (5000, rows[7][1])], "doc_id long, text string")
+    members, links = L.jaccard_join(docs)
+    want = brute([*rows, (5000, rows[7][1])])
+    assert sum(w[2] for w in want) > 300 * 100
+    assert sorted(((r["id"], r["class_id"], r["n_links"]) for r in members.collect()), key=repr) == want
+    pairs = [(r["a_id"], r["b_id"]) for r in links.collect()]
+    assert len({frozenset(p) for p in pairs}) == len(pairs)
+    copies = 1 + sum(7 in p for p in pairs)
+    assert 2 * (len(pairs) + copies) == sum(w[2] for w in want)
