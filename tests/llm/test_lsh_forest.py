@@ -173,3 +173,12 @@ def test_every_link_of_a_large_group_is_counted(spark):
     assert len({frozenset(p) for p in pairs}) == len(pairs)
     copies = 1 + sum(7 in p for p in pairs)
     assert 2 * (len(pairs) + copies) == sum(w[2] for w in want)
+
+
+def test_a_thousand_near_duplicates_equal_all_pairs(spark):
+    rows = large_group(1000, 12, partners=20)
+    members, _ = L.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = brute(rows)
+    assert sum(w[2] for w in want) > 1000 * 300  # links of the group itself, not a handful
+    assert sum(w[2] == 1 for w in want) > 20  # and texts with a single partner
+    assert sorted(((r["id"], r["class_id"], r["n_links"]) for r in members.collect()), key=repr) == want
