@@ -1,10 +1,10 @@
-"""N-gram Jaccard join by a MinHash LSH forest with exact verification.
+"""N-gram Jaccard join by MinHash prefixes of fixed length with exact verification.
 
-A text's set is that of its five-word shingles.  The forest has ``trees``
-trees; a tree is the sorted list of ``depth``-value signatures, so texts that
-share a prefix stand together.  Prefixes are shortened from ``depth`` values to
-the longest length ``k`` at which a pair at the threshold meets in some tree
-with the target recall, ``1 - (1 - s^k)^trees``.  Buckets (tree, prefix of
+A text's set is that of its five-word shingles.  There are ``trees`` signatures
+of ``depth`` values, as in an LSH forest, but buckets of one prefix length take
+the place of its sorted tries: no text falls back to a shorter prefix when it
+has few matches.  The length is the longest ``k`` at which a pair at the
+threshold meets in some tree with the target recall, ``1 - (1 - s^k)^trees``.  Buckets (tree, prefix of
 ``k`` values) are then treated by their size:
 
 * the texts of a bucket of at most ``small`` are joined completely;
