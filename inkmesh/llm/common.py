@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import gc
 import os
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,16 +21,47 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder under ``spark.checkpoint.dir``, which all executors share.
 
-    Only where that setting is absent (tests on one machine) is a temporary
-    folder chosen, and the setting is then made for the rest of the session.
+    Only a local session (one machine, as in tests) may lack that setting: it
+    then gets a temporary folder, and the setting for the rest of the session.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "inkmesh-shared")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/inkmesh-{uuid.uuid4().hex}"
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that is read no more, on whatever file system it lies."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Has Spark delete the shuffle files of finished jobs now: it does so for plans that the driver's collector finds unused."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+#: Bytes of text that a Python worker takes up at once, whatever the rows of an Arrow batch.
+BATCH_BYTES = 1 << 22
+
+
+def small_batches(batches: Iterator) -> Iterator[pa.Array]:
+    """Arrow arrays of texts (or tuples of arrays led by one), each cut to about ``BATCH_BYTES``, with one result for each.
+
+    To be used where a result array may be as short as its part: in a scalar
+    iterator UDF Spark asks only that the results line up with the rows.
+    """
+    for batch in batches:
+        lead = batch[0] if isinstance(batch, tuple) else batch
+        rows = max(1, min(len(lead), len(lead) * BATCH_BYTES // max(1, lead.nbytes)))
+        for low in range(0, max(1, len(lead)), rows):
+            yield tuple(x.slice(low, rows) for x in batch) if isinstance(batch, tuple) else batch.slice(low, rows)
+
+
 def materialize(df: DataFrame, folder: str, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 

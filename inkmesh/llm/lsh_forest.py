@@ -74,14 +74,18 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-_SPACES = np.fromiter((chr(i).isspace() for i in range(0x3002)), bool, 0x3002)
+#: Bytes of a text that are hashed at once, up to the next space.
+HASHED_BYTES = 1 << 20
+_SPACE_BYTES = np.fromiter((b < 128 and chr(b).isspace() for b in range(256)), bool, 256)
 
 
 class Shingler:
     """Texts to 64-bit hashes of their shingles, by whole-array arithmetic.
 
-    A word's hash is a polynomial over its code points modulo 2^64, scrambled
-    together with its length; a shingle's chains the hashes of its words.
+    A word's hash is a polynomial over its UTF-8 bytes modulo 2^64, taken from
+    running sums over the text and scrambled together with its length; a
+    shingle's is a sum of its words' hashes with a factor for each place,
+    scrambled again.
     """
 
     def __init__(self, width: int = SHINGLE):
@@ -89,24 +93,44 @@ class Shingler:
         rng = np.random.Generator(np.random.PCG64(0x5EED))
         self.factors = rng.integers(1, 1 << 63, width, dtype=np.uint64) | np.uint64(1)
         self.base = int(rng.integers(1 << 60, 1 << 63)) | 1
-        self.powers = np.ones(1, np.uint64)
+        self.value = rng.integers(1, 1 << 63, 256, dtype=np.uint64)
+        self._grow(1 << 12)
+
+    def _grow(self, n: int) -> None:
+        chain = lambda x: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n, x, np.uint64)]))
+        self.powers, self.inverse = chain(self.base), chain(pow(self.base, -1, 1 << 64))
+
+    def _part(self, raw: np.ndarray) -> np.ndarray:
+        """``raw`` begins and ends with a space."""
+        space = _SPACE_BYTES.take(raw)
+        edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+        starts, ends = edge[::2], edge[1::2]
+        if len(raw) >= len(self.powers):
+            self._grow(2 * len(raw))
+        sums = np.zeros(len(raw) + 1, np.uint64)
+        np.cumsum(self.value.take(raw) * self.powers[: len(raw)], out=sums[1:])
+        lengths = (ends - starts).astype(np.uint64)
+        out = mix((sums[ends] - sums[starts]) * self.inverse[starts] + lengths * np.uint64(_PRIME_MIX[0]))
+        if len(self.powers) > 4 * HASHED_BYTES:  # after a word of megabytes
+            self._grow(HASHED_BYTES)
+        return out
 
     def words(self, text: str) -> np.ndarray:
         """A hash for each run of non-space characters of the lower-cased text."""
-        points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        inside = ~_SPACES[np.minimum(points, 0x3001)]
-        edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
-        starts, ends = edge[::2], edge[1::2]
-        if not len(starts):
-            return np.zeros(0, np.uint64)
-        lengths = ends - starts
-        longest = int(lengths.max())
-        if longest > len(self.powers):
-            self.powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(2 * longest, self.base, np.uint64)]))
-        offsets = np.cumsum(lengths) - lengths
-        place = np.arange(int(lengths.sum())) - np.repeat(offsets, lengths)
-        sums = np.add.reduceat((points[inside].astype(np.uint64) + np.uint64(1)) * self.powers[place], offsets)
-        return mix(sums + lengths.astype(np.uint64) * np.uint64(_PRIME_MIX[0]))
+        text = text.lower()
+        if not text.isascii():
+            text = " ".join(text.split())
+        raw = np.frombuffer(b" %b " % text.encode("utf-8", "surrogatepass"), np.uint8)
+        if len(raw) <= HASHED_BYTES:
+            return self._part(raw)
+        parts, at = [], 0
+        while at < len(raw) - 1:
+            end = min(at + HASHED_BYTES, len(raw) - 1)
+            while not _SPACE_BYTES[raw[end]]:
+                end += 1
+            parts.append(self._part(raw[at : end + 1]))
+            at = end
+        return np.concatenate(parts)
 
     def all(self, text: str | None) -> np.ndarray:
         """The hash of each shingle in turn."""
@@ -114,10 +138,10 @@ class Shingler:
         if not len(h):
             return h
         w = min(self.width, len(h))
-        out = np.full(len(h) - w + 1, np.uint64(w))
+        out = np.full(len(h) - w + 1, w * _PRIME_MIX[0] % (1 << 64), np.uint64)
         for i in range(w):
-            out = mix(out * self.factors[i] + h[i : len(h) - w + 1 + i])
-        return out
+            out += h[i : len(h) - w + 1 + i] * self.factors[i]
+        return mix(out)
 
     def set(self, text: str | None) -> np.ndarray:
         return np.unique(self.all(text))
