@@ -1,5 +1,6 @@
 """The driver's contract, with and without the corpus subpackage."""
 
+import json
 import os
 import shutil
 import subprocess
@@ -9,6 +10,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+import bench
 from inkmesh.plans import catalog
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -23,12 +25,35 @@ def test_names():
 
 def test_imports_without_the_corpus_subpackage(tmp_path):
     shutil.copytree(f"{ROOT}/inkmesh", f"{tmp_path}/inkmesh", ignore=shutil.ignore_patterns("llm", "__pycache__"))
-    shutil.copy(f"{ROOT}/__spark_entry__.py", tmp_path)
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if os.path.exists(f"{ROOT}/{name}"):
+            shutil.copy(f"{ROOT}/{name}", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 35 and not any(n.startswith('op') and n[2].isdigit() for n in q) and 'pipeline' not in q; e.oracle_sql()"
     env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env=env)
 
 
+def test_a_missing_module_that_is_not_removable_is_an_error(tmp_path):
+    shutil.copytree(f"{ROOT}/inkmesh", f"{tmp_path}/inkmesh", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{ROOT}/__spark_entry__.py", tmp_path)
+    (tmp_path / "corpus_pipeline.py").write_text("import no_such_module\n")
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    ran = subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; e.queries()"], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert ran.returncode and "no_such_module" in ran.stderr
+
+
+def test_bench_takes_numbered_queries_only():
+    assert bench.numbered(["open_by_id", "op10_pack", "op2_x", "open_by_title", "pipeline", "op1_y"]) == ["op1_y", "op2_x", "op10_pack"]
+
+
+@needs_data
+def test_bench_prints_one_line():
+    env = os.environ | {"BENCH_SF_DIR": DATA, "BENCH_CPUS": "2", "BENCH_DRIVER_MEMORY": "1g", "BENCH_QUERIES": "count_by_category,open_by_title"}
+    ran = subprocess.run([sys.executable, f"{ROOT}/bench.py"], cwd=ROOT, env=env, capture_output=True, text=True, check=True)
+    out = json.loads(ran.stdout.strip().splitlines()[-1])
+    assert set(out["queries"]) == {"count_by_category", "open_by_title"} and out["unit"] == "sec" and out["value"] > 0
+
+
 def normal(rows):
     def value(v):
         if isinstance(v, bool) or v is None:
