@@ -7,7 +7,7 @@ import os
 import re
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -45,10 +45,38 @@ def release(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-#: Bytes of text that a Python worker takes up at once, whatever the rows of an Arrow batch.
+#: Bytes that are sent to a Python worker at once, and that it takes up at once.
 BATCH_BYTES = 1 << 22
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of ``BATCH_BYTES`` at most (and one row at least), from here on in this session."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
+_KEPT: dict[tuple, object] = {}
+
+
+def kept(kind: str, key, make: Callable):
+    """What ``make`` builds, once for (kind, key) in each Python worker.
+
+    A worker keeps one such object only: it is used again by other operators,
+    which must not pile up what they remember.
+    """
+    if (kind, key) not in _KEPT:
+        _KEPT.clear()
+        _KEPT[kind, key] = make()
+    return _KEPT[kind, key]
+
+
+def unused(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores before it as make it new to ``df``."""
+    known = {c.lower() for c in df.columns}
+    while name in known:
+        name = f"_{name}"
+    return name
+
+
 def small_batches(batches: Iterator) -> Iterator[pa.Array]:
     """Arrow arrays of texts (or tuples of arrays led by one), each cut to about ``BATCH_BYTES``, with one result for each.
 
@@ -74,6 +102,7 @@ def materialize(df: DataFrame, folder: str, name: str) -> DataFrame:
 
 def attach(df: DataFrame, into: str, value: Column) -> DataFrame:
     """``df`` with the struct column ``into``; a column of that name is replaced."""
+    bound_batches(df.sparkSession)
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() != into.lower()], value.alias(into))
 
 

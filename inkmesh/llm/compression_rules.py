@@ -24,7 +24,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkmesh.llm.common import attach
+from inkmesh.llm.common import attach, small_batches
 
 #: (up to so many bytes, least ratio, greatest ratio) of a whole text, level 3.
 #: Short texts compress less, so the band moves down and widens with length.
@@ -105,7 +105,7 @@ def compression_rules(
     @F.arrow_udf(_RESULT)
     def rules(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         compress = zstandard.ZstdCompressor(level=LEVEL, write_checksum=False, write_content_size=False).compress
-        for texts in batches:
+        for texts in small_batches(batches):
             rows = []
             for value in texts:
                 t = value.as_py()

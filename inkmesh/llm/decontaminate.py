@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkmesh.llm.common import attach
+from inkmesh.llm.common import attach, kept, small_batches, unused
 
 #: Bytes of benchmark text that one pass sends to the executors.
 MAX_BROADCAST_BYTES = 32 << 20
@@ -115,15 +115,10 @@ def merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 _RESULT = "n_words long, n_hit long, spans array<struct<start: int, end: int>>, item_ids array<string>"
-_MATCHERS: dict[str, Matcher] = {}
 
 
 def _matcher(key: str, items: list[tuple[str, bytes]], window: int) -> Matcher:
-    """Built once in each Python worker."""
-    if key not in _MATCHERS:
-        _MATCHERS.clear()
-        _MATCHERS[key] = Matcher(items, window)
-    return _MATCHERS[key]
+    return kept("matcher", key, lambda: Matcher(items, window))
 
 
 def _pack(rows: list[tuple]) -> pa.StructArray:
@@ -145,7 +140,7 @@ def _scanner(spark, items: list[tuple[str, bytes]], window: int):
 
     @F.arrow_udf(_RESULT)
     def first(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
+        for texts in small_batches(batches):
             matcher, rows = _matcher(key, sent.value, window), []
             for raw in texts.cast(pa.binary()).to_pylist():
                 words = words_of(raw)
@@ -154,7 +149,7 @@ def _scanner(spark, items: list[tuple[str, bytes]], window: int):
 
     @F.arrow_udf(_RESULT)
     def later(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for texts, before in batches:
+        for texts, before in small_batches(batches):
             matcher, rows = _matcher(key, sent.value, window), []
             for raw, old in zip(texts.cast(pa.binary()).to_pylist(), before.to_pylist(), strict=True):
                 words = words_of(raw)
@@ -189,7 +184,7 @@ def decontaminate(
     items = benchmark.select(F.coalesce(F.col(item_id).cast("string"), F.lit("")).alias("i"), F.coalesce(F.col(item_text), F.lit("")).alias("t"))
     size = items.agg(F.sum(F.octet_length("t") + F.octet_length("i") + 64)).first()[0] or 0
     blocks = max(1, -(-size // max_broadcast_bytes))
-    marker = f"__{into}"
+    marker = unused(docs, f"__{into.lower()}")
     out = docs
     for k in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k)

@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkmesh.llm.common import attach, fold
+from inkmesh.llm.common import attach, fold, kept, small_batches
 
 DOCS_PER_LANGUAGE = 64
 CHARS_PER_DOC = 2048
@@ -213,9 +213,6 @@ def learn(
     return samples
 
 
-_MADE: dict[str, Identifier] = {}
-
-
 def identify_language(docs: DataFrame, samples: dict[str, list[str]], text: str = "text", chars_per_language: int = CHARS_PER_LANGUAGE, into: str = "language") -> DataFrame:
     """``docs`` with a struct column ``into``: lang_pred and score."""
     sent = docs.sparkSession.sparkContext.broadcast(samples)
@@ -223,11 +220,9 @@ def identify_language(docs: DataFrame, samples: dict[str, list[str]], text: str
 
     @F.arrow_udf("lang_pred string, score double")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
-            if key not in _MADE:  # once in each Python worker
-                _MADE.clear()
-                _MADE[key] = Identifier(sent.value, chars_per_language)
-            names, scores = _MADE[key].identify(texts.to_pylist())
+        for texts in small_batches(batches):
+            made = kept("language", key, lambda: Identifier(sent.value, chars_per_language))
+            names, scores = made.identify(texts.to_pylist())
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
 
     return attach(docs, into, run.asNondeterministic()(F.col(text)))

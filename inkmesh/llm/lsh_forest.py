@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkmesh.llm.common import attach, materialize, shared_dir
+from inkmesh.llm.common import attach, materialize, shared_dir, small_batches, unused
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -182,7 +182,7 @@ def described(docs: DataFrame, text: str, n_hashes: int, width: int, into: str)
     @F.arrow_udf("key binary, size int, signature binary, low binary")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         make = shingler(width)
-        for texts in batches:
+        for texts in small_batches(batches):
             keys, sizes, signs, lows = [], [], [], []
             for lo in range(0, len(texts), 256):  # bounds the shingles held at once
                 sets = [make.set(t.as_py()) for t in texts[lo : lo + 256]]
@@ -207,7 +207,7 @@ def with_sets(docs: DataFrame, text: str, width: int, into: str) -> DataFrame:
     @F.arrow_udf("key binary, shingles array<long>")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         make = shingler(width)
-        for texts in batches:
+        for texts in small_batches(batches):
             sets = [make.set(t.as_py()) for t in texts]
             offsets = np.cumsum([0, *map(len, sets)], dtype=np.int32)
             values = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
@@ -402,14 +402,6 @@ def components(edges: DataFrame, folder: str) -> DataFrame:
     return state.select(F.col("u").alias("rep"), F.col("v").alias("root")).unionByName(state.select(F.col("v").alias("rep"), F.col("v").alias("root"))).distinct()
 
 
-def unused(df: DataFrame, name: str) -> str:
-    """``name`` with as many underscores before it as make it new to ``df``."""
-    known = {c.lower() for c in df.columns}
-    while name in known:
-        name = f"_{name}"
-    return name
-
-
 def one_per_class(docs: DataFrame, members: DataFrame, id_column: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
     """The rows of ``docs`` that stay when each class keeps one document.
 

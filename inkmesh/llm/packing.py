@@ -38,12 +38,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from inkmesh.llm.common import bound_batches, kept
+
 TIERS = (256, 512, 1024, 2048, 4096)
 ROUND_TOKENS = 1 << 20
 GROUP_TOKENS = 1 << 16
 OPEN_GROUPS = 8
-#: Strings whose ids a Python worker remembers before it starts anew.
-MAX_REMEMBERED = 1_000_000
+#: Strings whose ids a Python worker remembers before it starts anew, some 200 bytes each.
+MAX_REMEMBERED = 400_000
 _MARKS = ".,;:!?"
 #: Tokenizer settings under which a text's ids are those of its letter runs, lower-cased, and of the signs between.
 _WORD_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
@@ -120,20 +122,24 @@ class Encoder:
 
 
 class Doc:
-    """What is left of one document: ids from ``start`` on."""
+    """The tokens of one document from ``start`` to ``end``; its pieces share one buffer of ids."""
 
-    __slots__ = ("key", "ids", "start", "total")
+    __slots__ = ("key", "whole", "start", "end", "total")
 
-    def __init__(self, key, ids: bytes, start: int, total: int):
-        self.key, self.ids, self.start, self.total = key, ids, start, total
+    def __init__(self, key, whole: bytes, start: int, end: int):
+        self.key, self.whole, self.start, self.end, self.total = key, whole, start, end, len(whole) // 4
 
     def __len__(self) -> int:
-        return len(self.ids) // 4
+        return self.end - self.start
+
+    @property
+    def ids(self) -> bytes:
+        return self.whole[4 * self.start : 4 * self.end]
 
     def cut(self, n: int) -> Doc:
         """Takes the first n tokens off."""
-        head = Doc(self.key, self.ids[: 4 * n], self.start, self.total)
-        self.ids, self.start = self.ids[4 * n :], self.start + n
+        head = Doc(self.key, self.whole, self.start, self.start + n)
+        self.start += n
         return head
 
 
@@ -229,13 +235,8 @@ class Packer:
         return done + [window] if window else done
 
 
-_ENCODERS: dict[tuple[str, int], Encoder] = {}
-
-
 def _encoder(path: str, end_id: int) -> Encoder:
-    if (path, end_id) not in _ENCODERS:
-        _ENCODERS[path, end_id] = Encoder(path, end_id)
-    return _ENCODERS[path, end_id]
+    return kept("encoder", (path, end_id), lambda: Encoder(path, end_id))
 
 
 def pack(
@@ -252,6 +253,7 @@ def pack(
     """One row per piece: id, start, length, token_ids (little-endian uint32), doc_tokens, sequence_id, offset, sequence_tokens, tier, step_group."""
     if any(t & (t - 1) for t in tiers) or group_tokens < max(tiers):
         raise ValueError("tiers must be powers of two, none above group_tokens")
+    bound_batches(docs.sparkSession)
     key_type = docs.schema[id_column].dataType
     schema = T.StructType(
         [T.StructField(id_column, key_type), *(T.StructField(n, T.LongType()) for n in ("start", "length")), T.StructField("token_ids", T.BinaryType())]

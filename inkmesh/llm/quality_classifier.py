@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkmesh.llm.common import attach
+from inkmesh.llm.common import attach, bound_batches, kept, small_batches
 
 MAX_TRAINING_ROWS = 6000
 BITS = 16
@@ -226,10 +226,11 @@ class Scorer:
 
 def vote_counts(docs: DataFrame, text: str = "text") -> dict[int, int]:
     """How often each vote pattern occurs, over all texts."""
+    bound_batches(docs.sparkSession)
 
     @F.arrow_udf("int")
     def code(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
+        for texts in small_batches(batches):
             yield pa.array([pattern(votes(t.as_py())) for t in texts], pa.int32())
 
     counted = docs.select(code(F.col(text)).alias("code")).groupBy("code").count()
@@ -248,7 +249,7 @@ def fit(docs: DataFrame, text: str = "text", max_training_rows: int = MAX_TRAINI
     @F.arrow_udf("struct<code: int, features: array<int>>")
     def described(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         hasher = Hasher()
-        for texts in batches:
+        for texts in small_batches(batches):
             codes, features = [], []
             for t in texts:
                 value = t.as_py()
@@ -263,9 +264,6 @@ def fit(docs: DataFrame, text: str = "text", max_training_rows: int = MAX_TRAINI
     return labels, Scorer(rows)
 
 
-_HASHERS: list[Hasher] = []
-
-
 def classify_quality(docs: DataFrame, model: tuple[LabelModel, Scorer] | None, text: str = "text", keep_score: float = KEEP_SCORE, into: str = "quality_class") -> DataFrame:
     """``docs`` with a struct column ``into``: score, posterior (of the label model) and kept."""
     sent = docs.sparkSession.sparkContext.broadcast(model and (model[0].posterior, model[1]))
@@ -273,11 +271,10 @@ def classify_quality(docs: DataFrame, model: tuple[LabelModel, Scorer] | None, t
     @F.arrow_udf("score double, posterior double, kept boolean")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         posterior, scorer = sent.value
-        if not _HASHERS:
-            _HASHERS.append(Hasher())
-        for texts in batches:
+        hasher = kept("hasher", None, Hasher)
+        for texts in small_batches(batches):
             values = texts.to_pylist()
-            scores = [scorer.score(_HASHERS[0].features(t)) for t in values]
+            scores = [scorer.score(hasher.features(t)) for t in values]
             soft = [posterior.get(pattern(votes(t))) for t in values]
             yield pa.StructArray.from_arrays([pa.array(scores, pa.float64()), pa.array(soft, pa.float64()), pa.array([s >= keep_score for s in scores], pa.bool_())], names=["score", "posterior", "kept"])
 

@@ -31,7 +31,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkmesh.llm.common import attach
+from inkmesh.llm.common import attach, unused
 
 MIN_TOKEN = 20
 RANDOM_LEVEL = 0.001
@@ -246,7 +246,7 @@ def scan_secrets(
     into: str = "secrets",
 ) -> DataFrame:
     """``docs`` with a struct column ``into``: ``spans``, sorted by start and kind."""
-    names = [f"__{into}_{k}" for k in ("text", *KINDS, "base")]
+    names = [unused(docs, f"__{into.lower()}_{k}") for k in ("text", *KINDS, "base")]
     t, assign, access, hexes, random, base = names
 
     def spans(column: str, kind: str) -> Column:

@@ -31,15 +31,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkmesh.llm.common import attach, fold
+from inkmesh.llm.common import attach, fold, kept, small_batches
 
-MAX_TRAINING_ROWS = 8000
+MAX_TRAINING_ROWS, MAX_TRAINING_BYTES = 8000, 64 << 20
 #: A learned term needs so many labelled texts, and so high a log-odds.
 MIN_SUPPORT, MIN_LOG_ODDS, MAX_TERMS = 4, 2.0, 20_000
 PREFIXES = (4, 5, 6, 7)
 #: Hits count as addressed if a second-person word stands so near.
 NEAR = 6
-MAX_REMEMBERED = 200_000
+#: Tokens whose vectors a Python worker remembers, some 300 bytes each.
+MAX_REMEMBERED = 100_000
 
 SEED_LEXICON = frozenset(
     """idiot idiots moron morons stupid dumb fool trash garbage scum loser losers pathetic worthless disgusting clown
@@ -106,12 +107,13 @@ class Vectorizer:
     def _learn(self, tokens: list[str]) -> None:
         if len(self.index) > MAX_REMEMBERED:
             self.index.clear()
-        for token in dict.fromkeys(tokens):
-            if token not in self.index:
-                k = self.index[token] = len(self.index)
-                if k >= len(self.table):
-                    self.table = np.vstack([self.table, np.zeros_like(self.table)])
-                self.table[k] = self.token_vector(token)
+        fresh = [t for t in dict.fromkeys(tokens) if t not in self.index]
+        need = len(self.index) + len(fresh)
+        if need > len(self.table):
+            self.table = np.vstack([self.table, np.zeros((max(need, MAX_REMEMBERED // 4) - len(self.table) + need // 8, _WIDTH))])
+        for token in fresh:
+            k = self.index[token] = len(self.index)
+            self.table[k] = self.token_vector(token)
 
     def rows(self, tokens: list[str]) -> np.ndarray:
         """Token vectors of one text."""
@@ -120,7 +122,11 @@ class Vectorizer:
         except KeyError:
             self._learn(tokens)
             at = np.fromiter(map(self.index.__getitem__, tokens), np.int64, len(tokens))
-        return self.table[at]
+        rows = self.table[at]
+        if len(self.index) > 2 * MAX_REMEMBERED or len(tokens) > MAX_REMEMBERED or max(map(len, tokens)) > MAX_REMEMBERED:  # a very long text or token is not remembered
+            self.index.clear()
+            self.table = np.zeros((1024, _WIDTH))
+        return rows
 
     def vector(self, text: str | None) -> np.ndarray:
         tokens = (text or "").split()
@@ -276,8 +282,18 @@ class Model:
         return np.clip(0.999 * np.interp(m, self.knots, self.levels) + 0.001 / (1 + np.exp(-m)), 0.0, 1.0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str = "text", label: str = "toxic", train_where=None, max_training_rows: int = MAX_TRAINING_ROWS) -> Model:
-    """A model from at most about ``max_training_rows`` labelled rows (those of the smallest id hashes)."""
+def fit(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_column: str = "doc_id",
+    text: str = "text",
+    label: str = "toxic",
+    train_where=None,
+    max_training_rows: int = MAX_TRAINING_ROWS,
+    max_training_bytes: int = MAX_TRAINING_BYTES,
+) -> Model:
+    """A model from at most ``max_training_rows`` different labelled texts, those of the smallest hashes, and
+    of these, in that order, as many as ``max_training_bytes`` allow."""
     known = labels.where(F.col(label).isNotNull() & F.col(id_column).isNotNull())
     if train_where is not None:
         known = known.where(train_where)
@@ -285,13 +301,19 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text: str
     n = known.count()
     if n > max_training_rows:
         known = known.where(F.pmod(F.xxhash64(id_column), F.lit(1_000_000)) < int(1_000_000 * max_training_rows / n))
-    sample = docs.select(F.col(id_column), F.col(text).alias("__t")).join(F.broadcast(known), id_column)  # bounded by max_training_rows
-    rows = sorted((r["__y"], str(r[id_column]), r["__t"] or "") for r in sample.collect())
-    rows.sort(key=lambda r: (r[1], r[2]))
-    return Model([r[2] for r in rows], [1 if r[0] else 0 for r in rows])
-
-
-_VIEWS: dict[int, tuple[Model, Vectorizer]] = {}
+    texts = docs.select(F.col(id_column), F.coalesce(F.col(text), F.lit("")).alias("__t")).join(F.broadcast(known), id_column)  # about max_training_rows ids
+    texts = texts.withColumn("__h", F.xxhash64(id_column, "__t"))
+    sizes = texts.select("__h", F.octet_length("__t").alias("__n")).distinct().orderBy("__h").limit(max_training_rows).collect()
+    total, chosen = 0, []
+    for r in sizes:
+        total += r["__n"]
+        if total > max_training_bytes:
+            break
+        chosen.append((r["__h"],))
+    picked = docs.sparkSession.createDataFrame(chosen, "__h long")
+    sample = texts.join(F.broadcast(picked), "__h").select(F.col(id_column).cast("string").alias("i"), F.col("__t").alias("t"), F.col("__y").alias("y")).distinct()
+    rows = sorted(tuple(r) for r in sample.collect())
+    return Model([r[1] for r in rows], [1 if r[2] else 0 for r in rows])
 
 
 def score_toxicity(docs: DataFrame, model: Model, text: str = "text", threshold: float = 0.7, into: str = "toxicity") -> DataFrame:
@@ -301,11 +323,8 @@ def score_toxicity(docs: DataFrame, model: Model, text: str = "text", threshold:
     @F.arrow_udf("score double, predicted int")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = sent.value
-        if id(m) not in _VIEWS:
-            _VIEWS.clear()
-            _VIEWS[id(m)] = (m, Vectorizer(m.lexicon))
-        view = _VIEWS[id(m)][1]
-        for texts in batches:
+        _, view = kept("toxicity", id(m), lambda: (m, Vectorizer(m.lexicon)))
+        for texts in small_batches(batches):
             x = np.stack([view.vector(t.as_py()) for t in texts]) if len(texts) else np.zeros((0, len(FEATURES)))
             s = m.score(x)
             yield pa.StructArray.from_arrays([pa.array(s, pa.float64()), pa.array((s >= threshold).astype("int32"), pa.int32())], names=["score", "predicted"])

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from inkmesh.llm.common import materialize
+from inkmesh.llm.common import bound_batches, materialize
 
 DICTIONARY_MAGIC = 0x184D2A5D
 ARCHIVE_BYTES = 32 << 20
@@ -193,6 +193,7 @@ def write_archives(
     archive_bytes: int = ARCHIVE_BYTES,
 ) -> DataFrame:
     """Writes the archives under ``folder`` (a URI all executors share) and returns their manifest."""
+    bound_batches(pages.sparkSession)
     planned = plan_records(pages, folder, id_column, url, html, min_revisit_bytes)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
