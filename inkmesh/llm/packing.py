@@ -45,7 +45,7 @@ ROUND_TOKENS = 1 << 20
 GROUP_TOKENS = 1 << 16
 OPEN_GROUPS = 8
 #: Strings whose ids a Python worker remembers before it starts anew, some 200 bytes each.
-MAX_REMEMBERED = 400_000
+MAX_REMEMBERED = 600_000
 _MARKS = ".,;:!?"
 #: Tokenizer settings under which a text's ids are those of its letter runs, lower-cased, and of the signs between.
 _WORD_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
@@ -100,7 +100,7 @@ class Encoder:
         for w in dict.fromkeys(words):
             if w not in made:
                 core = w.rstrip(_MARKS)
-                if core.isalpha() and max(core) < "\u0100":
+                if core.isalpha() and (core.isascii() or max(core) < "\u0100"):
                     parts.append((w, core.lower(), w[len(core) :]))
                 else:
                     plain.append(w)

@@ -40,7 +40,7 @@ PREFIXES = (4, 5, 6, 7)
 #: Hits count as addressed if a second-person word stands so near.
 NEAR = 6
 #: Tokens whose vectors a Python worker remembers, some 300 bytes each.
-MAX_REMEMBERED = 100_000
+MAX_REMEMBERED = 150_000
 
 SEED_LEXICON = frozenset(
     """idiot idiots moron morons stupid dumb fool trash garbage scum loser losers pathetic worthless disgusting clown
@@ -52,6 +52,7 @@ SEED_LEXICON = frozenset(
 SECOND_PERSON = frozenset("you your yours yourself u ur ye thou du dich dir dein deine ihr euch sie tu te toi ton ta tes vous votre vos tú ti tus usted ustedes vosotros os".split())
 _LEET = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "l", "+": "t"})
 _INNER = re.compile(r"[*._\-#~^'’]+")
+_MARKS = "!?.,;:"
 _EDGE = "!?.,;:\"'()[]{}<>*_-…«»“”„’`~|/\\"
 
 FEATURES = (
@@ -80,10 +81,23 @@ class Vectorizer:
         self.table = np.zeros((1024, _WIDTH))
 
     def _evidence(self, word: str) -> float:
-        return max((self.lexicon.get(t, 0.0) for t in terms_of(word)), default=0.0)
-
-    def token_vector(self, token: str) -> np.ndarray:
-        v = np.zeros(_WIDTH)
+        known, n = self.lexicon.get, len(word)
+        best = known(word, 0.0)
+        for k in PREFIXES:
+            if n <= k:
+                break
+            best = max(best, known(word[:k] + "~", 0.0))
+        return best
+
+    def token_vector(self, token: str) -> list[float]:
+        core = token.rstrip(_MARKS)
+        if core.isalpha():  # most tokens
+            letters, marks = len(core), token[len(core) :]
+            upper = 0 if core.islower() else sum(map(str.isupper, core))
+            word = core.lower()
+            e = self._evidence(word)
+            return [word in SEED_LEXICON, e > 0, e, word in SECOND_PERSON, upper, letters, letters >= 3 and upper == letters, marks.count("!"), marks.count("?"), len(marks), 0, 0, 0, len(token)]
+        v = [0.0] * _WIDTH
         word = plain(token)
         letters = sum(map(str.isalpha, token))
         upper = sum(map(str.isupper, token))
@@ -111,9 +125,9 @@ class Vectorizer:
         need = len(self.index) + len(fresh)
         if need > len(self.table):
             self.table = np.vstack([self.table, np.zeros((max(need, MAX_REMEMBERED // 4) - len(self.table) + need // 8, _WIDTH))])
-        for token in fresh:
-            k = self.index[token] = len(self.index)
-            self.table[k] = self.token_vector(token)
+        if fresh:
+            self.table[need - len(fresh) : need] = [self.token_vector(t) for t in fresh]
+            self.index.update(zip(fresh, range(need - len(fresh), need), strict=True))
 
     def rows(self, tokens: list[str]) -> np.ndarray:
         """Token vectors of one text."""
