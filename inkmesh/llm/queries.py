@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from inkmesh.llm import langid, quality_classifier, toxicity
 from inkmesh.llm.common import read_table, shared_dir
-from inkmesh.llm.compression_rules import compression_rules
+from inkmesh.llm.compression_rules import compression_rules, fit_bands
 from inkmesh.llm.decontaminate import decontaminate
 from inkmesh.llm.lsh_forest import jaccard_join
 from inkmesh.llm.packing import pack
@@ -49,7 +49,8 @@ def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_compression_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return compression_rules(docs).select("doc_id", "rules.*")
+    document_bands, chunk_bands = fit_bands(docs)
+    return compression_rules(docs, document_bands=document_bands, chunk_bands=chunk_bands).select("doc_id", "rules.*")
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

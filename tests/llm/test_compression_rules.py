@@ -1,10 +1,14 @@
 import base64
+import os
 import random
 import re
 
 import pytest
 
 from inkmesh.llm import compression_rules as R
+from inkmesh.llm import queries as Q
+
+SF = "/root/testdata/sf0.1"
 
 WORD = re.compile("[^\\x20\\x09-\\x0D]+")
 
@@ -68,3 +72,30 @@ def test_chunks_join_to_the_text(n):
     raw = bytes(i % 251 for i in range(n))
     parts = R.chunks_of(raw, 100)
     assert b"".join(parts) == raw and all(50 <= len(p) < 150 for p in parts[1:])
+
+
+def test_fitted_bands_reject_what_differs_in_its_length_class(spark):
+    rng = random.Random(7)
+    clean = {f"c{i}": prose(rng, rng.randrange(60, 900)) for i in range(1500)}
+    odd = {f"o{i}": " ".join(w + "&&&" for w in prose(rng, rng.randrange(100, 600)).split()) for i in range(60)}
+    docs = spark.createDataFrame([*clean.items(), *odd.items(), *[("copy", clean["c3"])] * 800, ("none", None), ("empty", "")], "doc_id string, text string")
+    document_bands, chunk_bands = R.fit_bands(docs)
+    assert [b[0] for b in document_bands] == sorted(b[0] for b in document_bands)
+    plain = {r["doc_id"]: r["rules"] for r in R.compression_rules(docs).collect()}
+    fitted = {r["doc_id"]: r["rules"] for r in R.compression_rules(docs, document_bands=document_bands, chunk_bands=chunk_bands).collect()}
+    gone = {i for i, r in fitted.items() if not r["kept"] and not r["base_failed"]}
+    assert not any(r["base_failed"] for i, r in fitted.items() if i[0] in "oc") and all(plain[i]["kept"] for i in odd)
+    assert len(gone & odd.keys()) > 30, (len(gone & odd.keys()), document_bands[16:28])
+    assert len(gone & clean.keys()) < 0.01 * len(clean) and fitted["copy"]["kept"]
+
+
+def test_fit_of_an_empty_table(spark):
+    document_bands, chunk_bands = R.fit_bands(spark.createDataFrame([], "doc_id long, text string"))
+    assert chunk_bands == R.CHUNK_BANDS and R.band_of(2000, document_bands) == R.band_of(2000, R.DOCUMENT_BANDS)
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the test tables are not here")
+def test_the_method_rejects_more_of_low_quality(spark):
+    rules = Q.op5_compression_rules(spark, SF).where("not base_failed").join(spark.read.parquet(f"{SF}/labels.parquet"), "doc_id")
+    n = {(r["quality"], r["kept"]): r["count"] for r in rules.groupBy("quality", "kept").count().collect()}
+    assert n[0, False] > 0.4 * (n[0, False] + n[0, True]) and n.get((1, False), 0) < 0.01 * n[1, True]
