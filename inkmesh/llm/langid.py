@@ -16,12 +16,18 @@ walked one by one, so no text is ever cut.
 Texts are lower-cased and every run of non-letters counts as one space.
 
 Learning takes, per language, the ``docs_per_language`` texts that are first
-by hash in as many hash buckets, ``chars_per_doc`` letters of each and
-``chars_per_language`` in all.
+by hash in as many hash buckets, and of each a stretch of ``chars_per_doc``
+characters from a place drawn by hash; the automata are of these stretches,
+``symbols_per_language`` symbols of each language at most.
+
+The ``MAX_ALPHABET`` most frequent letters of the samples have a symbol each.
+Any other letter of theirs, whatever its script, is spelled as six symbols, the
+digits of its code point, so all letters are told apart in tables of a fixed width.
 
 Defined cases: a null text and one without a letter get ``und`` and score 0;
 rows with a null language are not learned from; with nothing to learn from all
-texts get ``und``; letters that no language's sample has are one phrase each.
+texts get ``und``; letters that no sample has are one phrase each; of
+repeated rows each is predicted alike; a column named as ``into`` is replaced.
 """
 
 from __future__ import annotations
@@ -38,10 +44,10 @@ from pyspark.sql import functions as F
 from inkmesh.llm.common import attach, fold, kept, small_batches
 
 DOCS_PER_LANGUAGE = 64
-CHARS_PER_DOC = 2048
-CHARS_PER_LANGUAGE = 32768
-#: Letters with a symbol of their own; the rest share one.
-MAX_ALPHABET = 96
+CHARS_PER_DOC = 512
+SYMBOLS_PER_LANGUAGE = 33_000
+#: Letters with a symbol of their own; the rest are spelled in digits of four bits.
+MAX_ALPHABET, DIGITS = 96, 6
 #: With fewer texts left in a batch, these are walked one by one.
 FEW = 24
 #: Letters of text that count as evidence, at most, in the score.
@@ -104,18 +110,18 @@ class Automaton:
 class Identifier:
     """Automata of all languages in one table."""
 
-    def __init__(self, samples: dict[str, list[str]], chars_per_language: int = CHARS_PER_LANGUAGE):
+    def __init__(self, samples: dict[str, list[str]], symbols_per_language: int = SYMBOLS_PER_LANGUAGE):
         self.names = sorted(samples)
-        points = [np.concatenate([letters(t + " ") for t in samples[k]] or [np.zeros(0, np.uint32)])[:chars_per_language] for k in self.names]
+        points = [np.concatenate([letters(t + " ") for t in samples[k]] or [np.zeros(0, np.uint32)]) for k in self.names]
         seen, counts = np.unique(np.concatenate(points) if points else np.zeros(0, np.uint32), return_counts=True)
         common = sorted(zip(-counts, seen, strict=True))[:MAX_ALPHABET]
         own = sorted(int(p) for _, p in common if p)
-        self.symbol = np.full(0x10001, len(own) + 1, np.int32)  # letters of no sample
-        self.symbol[0] = 0
-        for i, p in enumerate(own, 1):
-            self.symbol[min(p, 0x10000)] = i
-        self.width = len(own) + 2
-        automata = [Automaton(self.symbol[np.minimum(p, 0x10000)].tolist(), self.width) for p in points]
+        self.digits = len(own) + 1
+        self.width = self.digits + 17
+        self.symbol = np.full(0x110000, self.width - 1, np.int16)  # letters of no sample
+        self.symbol[seen] = -1
+        self.symbol[[0, *own]] = np.arange(len(own) + 1)
+        automata = [Automaton(self.coded(p)[:symbols_per_language].tolist(), self.width) for p in points]
         self.costs = np.array([a.cost for a in automata])
         self.start = np.cumsum([0, *[len(a.table) for a in automata]])[:-1].astype(np.int64)
         parts = []
@@ -123,6 +129,17 @@ class Identifier:
             parts.append(np.where(a.table < 0, ~(~a.table + base), a.table + base))
         self.table = np.concatenate(parts).astype(np.int32).ravel() if parts else np.zeros(0, np.int32)
 
+    def coded(self, points: np.ndarray) -> np.ndarray:
+        """Code points to symbols."""
+        known = self.symbol[points].astype(np.int32)
+        rare = known < 0
+        if not rare.any():
+            return known
+        lengths = np.where(rare, DIGITS, 1)
+        at = np.repeat(np.arange(len(points)), lengths)
+        digit = np.arange(len(at)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        return np.where(rare[at], self.digits + (points[at].astype(np.int64) >> 4 * (DIGITS - 1 - digit) & 15), known[at]).astype(np.int32)
+
     def _alone(self, symbols: np.ndarray, at: int, states: list[int], counts: np.ndarray) -> None:
         """Walks the rest of one text."""
         rest, table, width = symbols[at:].tolist(), memoryview(self.table), self.width
@@ -137,12 +154,13 @@ class Identifier:
 
     def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
         """Phrases of each text against each language."""
+        texts = [self.coded(t) for t in texts]
         n, k = len(texts), len(self.names)
         counts = np.ones((n, k), np.int64)
         sizes = np.fromiter(map(len, texts), np.int64, n)
         order = np.argsort(-sizes, kind="stable")
         sizes = sizes[order]
-        symbols = self.symbol[np.minimum(np.concatenate([texts[i] for i in order]), 0x10000)]
+        symbols = np.concatenate([texts[i] for i in order])
         begin = np.concatenate(([0], np.cumsum(sizes)[:-1]))
         state = np.tile(self.start, (n, 1))
         found = np.zeros((n, k), np.int64)
@@ -203,7 +221,8 @@ def learn(
         .select("__i")
         .distinct()
     )
-    texts = known.select(F.col(id_column).alias("__i"), F.col(lang).alias("__l"), F.substring(text, 1, chars_per_doc).alias("__t"))
+    place = F.pmod(F.xxhash64(id_column, F.lit("place")), F.greatest(F.lit(1), F.length(text) - chars_per_doc + 1)) + 1
+    texts = known.select(F.col(id_column).alias("__i"), F.col(lang).alias("__l"), F.substring(F.col(text), place.cast("int"), F.lit(chars_per_doc)).alias("__t"))
     rows = texts.join(F.broadcast(chosen), "__i").distinct().collect()  # bounded: docs_per_language ids per language
     samples: dict[str, list[str]] = {}
     for r in sorted(rows, key=lambda r: (r["__l"], hashlib.sha1(r["__t"].encode()).digest())):
@@ -213,15 +232,15 @@ def learn(
     return samples
 
 
-def identify_language(docs: DataFrame, samples: dict[str, list[str]], text: str = "text", chars_per_language: int = CHARS_PER_LANGUAGE, into: str = "language") -> DataFrame:
+def identify_language(docs: DataFrame, samples: dict[str, list[str]], text: str = "text", symbols_per_language: int = SYMBOLS_PER_LANGUAGE, into: str = "language") -> DataFrame:
     """``docs`` with a struct column ``into``: lang_pred and score."""
     sent = docs.sparkSession.sparkContext.broadcast(samples)
-    key = hashlib.sha1(repr((chars_per_language, sorted(samples.items()))).encode()).hexdigest()
+    key = hashlib.sha1(repr((symbols_per_language, sorted(samples.items()))).encode()).hexdigest()
 
     @F.arrow_udf("lang_pred string, score double")
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in small_batches(batches):
-            made = kept("language", key, lambda: Identifier(sent.value, chars_per_language))
+            made = kept("language", key, lambda: Identifier(sent.value, symbols_per_language))
             names, scores = made.identify(texts.to_pylist())
             yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
 

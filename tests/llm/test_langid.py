@@ -93,3 +93,13 @@ def test_letters():
     assert as_text(G.letters("A1b-- Ç\U0001f600\U00010400")) == "a b ç 𐐨"
     assert not G.letters("12 ").any() and len(G.letters("")) == 0
     assert isinstance(G.letters("x"), np.ndarray)
+
+
+def test_scripts_beyond_the_alphabet_and_the_first_plane_are_told_apart():
+    rng = random.Random(3)
+    script = lambda first, n: [chr(first + k) for k in range(n)]
+    alphabets = {"cuneiform": script(0x12000, 300), "hieroglyphs": script(0x13000, 300), "han": script(0x4E00, 600), "yi": script(0xA000, 600)}
+    text = lambda letters, n: " ".join("".join(rng.choice(letters) for _ in range(4)) for _ in range(n))
+    made = G.Identifier({k: [text(v, 80) for _ in range(20)] for k, v in alphabets.items()})
+    for k, v in alphabets.items():
+        assert made.identify([text(v, 30) for _ in range(50)])[0] == [k] * 50
