@@ -45,7 +45,9 @@ ROUND_TOKENS = 1 << 20
 GROUP_TOKENS = 1 << 16
 OPEN_GROUPS = 8
 #: Strings whose ids a Python worker remembers before it starts anew, some 200 bytes each.
-MAX_REMEMBERED = 600_000
+MAX_REMEMBERED = 1_000_000
+#: Bytes of text that are tokenised at about a time.
+ENCODED_BYTES = 1 << 18
 _MARKS = ".,;:!?"
 #: Tokenizer settings under which a text's ids are those of its letter runs, lower-cased, and of the signs between.
 _WORD_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
@@ -77,7 +79,6 @@ class Encoder:
         if self.by_word:
             self.ends_word[[i for t, i in config["model"]["vocab"].items() if t.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {}
-        self.letters: dict[str, bytes] = {}
         self.model = Tokenizer(self.tokenizer.model)
         self.model.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
 
@@ -88,37 +89,45 @@ class Encoder:
         ids = np.array(self.model.encode_batch_fast([" ".join(fresh)], add_special_tokens=False)[0].ids, "<u4")
         cuts = (4 * (np.flatnonzero(self.ends_word[ids]) + 1)).tolist()
         raw = ids.tobytes()
-        self.letters.update((w, raw[a:b]) for w, a, b in zip(fresh, [0, *cuts], cuts, strict=False))
+        self.known.update((w, raw[a:b]) for w, a, b in zip(fresh, [0, *cuts], cuts, strict=False))
         if len(cuts) != len(fresh):
             raise ValueError("the vocabulary does not mark the ends of words")
 
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        if len(self.known) > MAX_REMEMBERED or len(self.letters) > MAX_REMEMBERED:
-            self.known.clear()
-            self.letters.clear()
-        made, parts, plain = self.known, [], []
-        for w in dict.fromkeys(words):
-            if w not in made:
-                core = w.rstrip(_MARKS)
-                if core.isalpha() and (core.isascii() or max(core) < "\u0100"):
-                    parts.append((w, core.lower(), w[len(core) :]))
-                else:
-                    plain.append(w)
-        plain += dict.fromkeys(m for _, _, m in parts if m not in made)
-        made.update(zip(plain, self._whole(plain), strict=True))
-        if fresh := list(dict.fromkeys(c for _, c, _ in parts if c not in self.letters)):
-            self._learn_letters(fresh)
-        made.update((w, self.letters[c] + made[m] if m else self.letters[c]) for w, c, m in parts)
-        return made
+    def _learn(self, fresh: set[str]) -> None:
+        made, parts, plain, letters = self.known, [], {}, {}
+        for w in fresh:
+            core = w.rstrip(_MARKS)
+            if core.isalpha() and (core.isascii() or max(core) < "\u0100"):
+                low = core.lower()
+                if low != w:
+                    marks = w[len(core) :]
+                    parts.append((w, low, marks))
+                    if marks not in made:
+                        plain[marks] = None
+                if low not in made:
+                    letters[low] = None
+            else:
+                plain[w] = None
+        if plain:
+            made.update(zip(plain, self._whole(list(plain)), strict=True))
+        if letters:
+            self._learn_letters(list(letters))
+        made.update((w, made[c] + made[m] if m else made[c]) for w, c, m in parts)
 
     def encode(self, text: str | None) -> bytes:
+        return self.encode_all([text])[0]
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text and the end id; new strings of all of them are tokenised in one call."""
         if not self.by_word:
-            return self._whole([text or ""])[0] + self.end
-        words = (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
-        try:
-            return b"".join(map(self.known.__getitem__, words)) + self.end
-        except KeyError:
-            return b"".join(map(self._learn(words).__getitem__, words)) + self.end
+            return [ids + self.end for ids in self._whole([t or "" for t in texts])]
+        words = [(t or "").replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        if len(self.known) > MAX_REMEMBERED:
+            self.known.clear()
+        if fresh := set().union(*words).difference(self.known):
+            self._learn(fresh)
+        ids = self.known.__getitem__
+        return [b"".join(map(ids, w)) + self.end for w in words]
 
 
 class Doc:
@@ -283,13 +292,15 @@ def pack(
 
         for batch in batches:
             kind = batch.schema.field(0).type
-            for key, value in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = encoder.encode(value.as_py())
-                full = packer.take(Doc(key, ids, 0, len(ids) // 4))
-                if full:
-                    yield from out(full)
-                if packer.held >= round_tokens:
-                    yield from out(packer.round())
+            keys, values = batch.column(0).to_pylist(), batch.column(1)
+            step = max(1, min(len(keys), len(keys) * ENCODED_BYTES // max(1, values.nbytes)))
+            for low in range(0, len(keys), step):
+                for key, ids in zip(keys[low : low + step], encoder.encode_all(values.slice(low, step).to_pylist()), strict=True):
+                    full = packer.take(Doc(key, ids, 0, len(ids) // 4))
+                    if full:
+                        yield from out(full)
+                    if packer.held >= round_tokens:
+                        yield from out(packer.round())
         yield from out(packer.finish())
 
     return docs.select(F.col(id_column), F.col(text)).mapInArrow(run, schema)

@@ -98,3 +98,10 @@ def test_empty_table_and_null_ids(spark):
     assert zlib.crc32(bytes(P.pack(docs, PATH).first()["token_ids"])) > 0
     with pytest.raises(ValueError):
         P.pack(docs, PATH, tiers=(1000,))
+
+
+def test_very_long_documents_are_cut_in_place():
+    packer = P.Packer(P.TIERS)
+    full = packer.take(P.Doc("a", bytes(4 * (3_000_000 * 4096 // 4096 + 5)), 0, 3_000_005))
+    assert len(full) == 3_000_005 // 4096 and all(len(w[0]) == 4096 and len(w[0].ids) == 4 * 4096 for w in full[:3])
+    assert full[0][0].whole is full[-1][0].whole and packer.held == 3_000_005 % 4096
