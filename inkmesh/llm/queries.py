@@ -16,6 +16,7 @@ from inkmesh.llm.packing import pack
 from inkmesh.llm.secret_scan import scan_secrets, spelled
 from inkmesh.llm.secret_scan_sql import secret_scan_sql
 from inkmesh.llm.substring_dedup import repeated_passages
+from inkmesh.llm.target_encoding import sale_encodings
 from inkmesh.llm.warc_zst import read_archives, write_archives
 
 
@@ -151,6 +152,45 @@ def op10_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("token_ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "sequence_tokens", "tier", "step_group")
 
 
+def op11_target_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sale_encodings(*[read_table(spark, sf_dir, name) for name in ("sale_lines", "sales", "items", "vendors", "clients")])
+
+
+OP11_SQL = """
+WITH line AS (
+  SELECT l.sale_id, coalesce(l.item_id, -1) AS item_id, l.vendor_id, coalesce(s.client_id, -1) AS client_id, s.sold_at,
+         CAST(coalesce(l.flag = 'returned', false) AS BIGINT) AS hit,
+         list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten([[CAST(ord(c) AS BIGINT), 0, 0, 0, 0, 0, 0, 0] FOR c IN string_split(CAST(l.sale_id AS VARCHAR), '')])),
+                     lambda r, b: xor(xor(r, b) >> 1, 3988292384 * (xor(r, b) & 1))) AS register
+  FROM sale_lines l JOIN sales s ON l.sale_id = s.sale_id WHERE s.sold_at IS NOT NULL),
+own AS (
+  SELECT sale_id, item_id, vendor_id, client_id, sold_at, xor(register, 4294967295) % 5 AS fold, count(*) AS n_lines, sum(hit) AS n_returned FROM line GROUP BY ALL),
+wide AS (
+  SELECT o.*, i.kind, v.nation_id, c.segment
+  FROM own o LEFT JOIN items i ON i.item_id = o.item_id LEFT JOIN vendors v ON v.vendor_id = o.vendor_id LEFT JOIN clients c ON c.client_id = o.client_id),
+history AS (
+  SELECT *, coalesce(sum(n_lines) OVER (PARTITION BY true ORDER BY sold_at RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP), 0) - coalesce(sum(n_lines) OVER (PARTITION BY true, fold ORDER BY sold_at RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP), 0) AS all_n,
+         coalesce(sum(n_returned) OVER (PARTITION BY true ORDER BY sold_at RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP), 0) - coalesce(sum(n_returned) OVER (PARTITION BY true, fold ORDER BY sold_at RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP), 0) AS all_s,
+         coalesce(sum(n_lines) OVER (PARTITION BY item_id ORDER BY sold_at RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP), 0) - coalesce(sum(n_lines) OVER (PARTITION BY item_id, fold ORDER BY sold_at RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP), 0) AS item_n,
+         coalesce(sum(n_returned) OVER (PARTITION BY item_id ORDER BY sold_at RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP), 0) - coalesce(sum(n_returned) OVER (PARTITION BY item_id, fold ORDER BY sold_at RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP), 0) AS item_s,
+         coalesce(sum(n_lines) OVER (PARTITION BY vendor_id ORDER BY sold_at RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP), 0) - coalesce(sum(n_lines) OVER (PARTITION BY vendor_id, fold ORDER BY sold_at RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP), 0) AS vendor_n,
+         coalesce(sum(n_returned) OVER (PARTITION BY vendor_id ORDER BY sold_at RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP), 0) - coalesce(sum(n_returned) OVER (PARTITION BY vendor_id, fold ORDER BY sold_at RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP), 0) AS vendor_s,
+         coalesce(sum(n_lines) OVER (PARTITION BY client_id ORDER BY sold_at RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP), 0) - coalesce(sum(n_lines) OVER (PARTITION BY client_id, fold ORDER BY sold_at RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP), 0) AS client_n,
+         coalesce(sum(n_returned) OVER (PARTITION BY client_id ORDER BY sold_at RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP), 0) - coalesce(sum(n_returned) OVER (PARTITION BY client_id, fold ORDER BY sold_at RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP), 0) AS client_s,
+         coalesce(sum(n_lines) OVER (PARTITION BY kind ORDER BY sold_at RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP), 0) - coalesce(sum(n_lines) OVER (PARTITION BY kind, fold ORDER BY sold_at RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP), 0) AS kind_n,
+         coalesce(sum(n_returned) OVER (PARTITION BY kind ORDER BY sold_at RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP), 0) - coalesce(sum(n_returned) OVER (PARTITION BY kind, fold ORDER BY sold_at RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP), 0) AS kind_s,
+         coalesce(sum(n_lines) OVER (PARTITION BY nation_id ORDER BY sold_at RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP), 0) - coalesce(sum(n_lines) OVER (PARTITION BY nation_id, fold ORDER BY sold_at RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP), 0) AS nation_n,
+         coalesce(sum(n_returned) OVER (PARTITION BY nation_id ORDER BY sold_at RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP), 0) - coalesce(sum(n_returned) OVER (PARTITION BY nation_id, fold ORDER BY sold_at RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP), 0) AS nation_s,
+         coalesce(sum(n_lines) OVER (PARTITION BY segment ORDER BY sold_at RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP), 0) - coalesce(sum(n_lines) OVER (PARTITION BY segment, fold ORDER BY sold_at RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP), 0) AS segment_n,
+         coalesce(sum(n_returned) OVER (PARTITION BY segment ORDER BY sold_at RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP), 0) - coalesce(sum(n_returned) OVER (PARTITION BY segment, fold ORDER BY sold_at RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW EXCLUDE GROUP), 0) AS segment_s
+  FROM wide),
+g AS (SELECT *, CASE WHEN all_n < 1 THEN 500000 ELSE (1000000 * all_s + 50 * 500000) // (all_n + 50) END AS p FROM history),
+m AS (SELECT *, CASE WHEN kind_n < 1 THEN p ELSE (1000000 * kind_s + 50 * p) // (kind_n + 50) END AS kind_p, CASE WHEN nation_n < 1 THEN p ELSE (1000000 * nation_s + 50 * p) // (nation_n + 50) END AS nation_p, CASE WHEN segment_n < 1 THEN p ELSE (1000000 * segment_s + 50 * p) // (segment_n + 50) END AS segment_p FROM g)
+SELECT sale_id, item_id, vendor_id, CAST(n_lines AS BIGINT) AS n_lines, CAST(n_returned AS BIGINT) AS n_returned, CAST(item_n AS BIGINT) AS item_n, CAST(CASE WHEN item_n < 1 THEN kind_p ELSE (1000000 * item_s + 50 * kind_p) // (item_n + 50) END AS BIGINT) AS item_rate, CAST(vendor_n AS BIGINT) AS vendor_n, CAST(CASE WHEN vendor_n < 1 THEN nation_p ELSE (1000000 * vendor_s + 50 * nation_p) // (vendor_n + 50) END AS BIGINT) AS vendor_rate, CAST(client_n AS BIGINT) AS client_n, CAST(CASE WHEN client_n < 1 THEN segment_p ELSE (1000000 * client_s + 50 * segment_p) // (client_n + 50) END AS BIGINT) AS client_rate
+FROM m
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
@@ -163,8 +203,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secret_scan": op8_secret_scan,
         "op9_jaccard_join": op9_jaccard_join,
         "op10_pack": op10_pack,
+        "op11_target_encoding": op11_target_encoding,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontaminate": OP6_SQL, "op7_warc": OP7_SQL, "op8_secret_scan": secret_scan_sql(), "op9_jaccard_join": OP9_SQL}
+    return {"op6_decontaminate": OP6_SQL, "op7_warc": OP7_SQL, "op8_secret_scan": secret_scan_sql(), "op9_jaccard_join": OP9_SQL, "op11_target_encoding": OP11_SQL}
