@@ -11,6 +11,7 @@ from inkmesh.llm import langid, quality_classifier, toxicity
 from inkmesh.llm.common import read_table, shared_dir
 from inkmesh.llm.compression_rules import compression_rules, fit_bands
 from inkmesh.llm.decontaminate import decontaminate
+from inkmesh.llm.divergence import source_divergence
 from inkmesh.llm.lsh_forest import jaccard_join
 from inkmesh.llm.packing import pack
 from inkmesh.llm.secret_scan import scan_secrets, spelled
@@ -191,6 +192,39 @@ FROM m
 """
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(read_table(spark, sf_dir, "documents").select("text", "lang", "source"))
+
+
+OP12_SQL = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x{00}-\x{40}\x{5B}-\x{60}\x{7B}-\x{7F}]+') AS w
+  FROM documents),
+word AS (SELECT rid, lang, source, unnest(w) AS term FROM d),
+kept AS (SELECT lang, term FROM word GROUP BY lang, term HAVING count(DISTINCT rid) >= 30),
+size AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+grp AS (SELECT DISTINCT lang, source FROM d),
+hit AS (SELECT lang, source, term, count(*) AS c FROM word JOIN kept USING (lang, term) GROUP BY ALL),
+total AS (SELECT lang, source, sum(c) AS n FROM hit GROUP BY ALL),
+of_group AS (
+  SELECT g.lang, g.source, k.term, coalesce(h.c, 0) AS c,
+         1 + CAST(1000000000 AS HUGEINT) * (coalesce(h.c, 0) + 5) // (coalesce(t.n, 0) + 5 * s.v) AS p
+  FROM grp g JOIN kept k USING (lang) JOIN size s USING (lang) LEFT JOIN hit h USING (lang, source, term) LEFT JOIN total t USING (lang, source)),
+of_lang AS (
+  SELECT lang, term, 1 + CAST(1000000000 AS HUGEINT) * (sum(c) + 5) // (max(n) + 5 * max(v)) AS q
+  FROM hit JOIN size USING (lang) JOIN (SELECT lang, sum(n) AS n FROM total GROUP BY lang) USING (lang) GROUP BY lang, term),
+apart AS (SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value FROM of_group a JOIN of_group b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+pair AS (SELECT a.lang, a.source, b.source AS item, coalesce(x.value, 0) AS value FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN apart x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source),
+term AS (SELECT lang, source, term AS item, p - q AS value FROM of_group JOIN of_lang USING (lang, term) WHERE c > 0 AND p > q),
+ranked AS (
+  SELECT lang, source, 'pair' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, encode(item)) AS rank FROM pair
+  UNION ALL
+  SELECT lang, source, 'term' AS part, item, value, row_number() OVER (PARTITION BY lang, source ORDER BY value DESC, encode(item)) AS rank FROM term)
+SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS INTEGER) AS rank FROM ranked WHERE part = 'pair' OR rank <= 50
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
@@ -204,8 +238,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_jaccard_join": op9_jaccard_join,
         "op10_pack": op10_pack,
         "op11_target_encoding": op11_target_encoding,
+        "op12_source_divergence": op12_source_divergence,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontaminate": OP6_SQL, "op7_warc": OP7_SQL, "op8_secret_scan": secret_scan_sql(), "op9_jaccard_join": OP9_SQL, "op11_target_encoding": OP11_SQL}
+    return {"op6_decontaminate": OP6_SQL, "op7_warc": OP7_SQL, "op8_secret_scan": secret_scan_sql(), "op9_jaccard_join": OP9_SQL, "op11_target_encoding": OP11_SQL, "op12_source_divergence": OP12_SQL}
