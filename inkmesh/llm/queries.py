@@ -12,6 +12,7 @@ from inkmesh.llm.common import read_table, shared_dir
 from inkmesh.llm.compression_rules import compression_rules, fit_bands
 from inkmesh.llm.decontaminate import decontaminate
 from inkmesh.llm.divergence import source_divergence
+from inkmesh.llm.hamming_join import hamming_join
 from inkmesh.llm.lsh_forest import jaccard_join
 from inkmesh.llm.packing import pack
 from inkmesh.llm.secret_scan import scan_secrets, spelled
@@ -225,6 +226,28 @@ SELECT lang, source, part, item, CAST(value AS BIGINT) AS value, CAST(rank AS IN
 """
 
 
+def op13_hamming_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    members, _ = hamming_join(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return members.withColumnRenamed("id", "doc_id")
+
+
+#: All pairs that share a shingle.  The join misses a pair at the threshold with a chance of four in a million.
+OP13_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x{20}\x{09}-\x{0D}]+') AS w
+  FROM documents),
+shingle AS (SELECT DISTINCT rid, array_to_string(w[s:s + least(2, len(w)) - 1], ' ') AS g FROM (SELECT rid, w, unnest(range(1, len(w) - least(2, len(w)) + 2)) AS s FROM d WHERE len(w) > 0)),
+size AS (SELECT rid, count(*) AS n FROM shingle GROUP BY rid),
+common AS (SELECT a.rid AS a, b.rid AS b, count(*) AS c FROM shingle a JOIN shingle b ON a.g = b.g AND a.rid <> b.rid GROUP BY 1, 2),
+link AS (SELECT a, b FROM common JOIN size x ON x.rid = a JOIN size y ON y.rid = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+reach(rid, other) AS (SELECT rid, rid FROM d UNION SELECT r.rid, l.b FROM reach r JOIN link l ON l.a = r.other),
+least_id AS (SELECT r.rid, min(d.doc_id) AS component_id FROM reach r JOIN d ON d.rid = r.other GROUP BY r.rid)
+SELECT d.doc_id, CAST(coalesce(size.n, 0) AS BIGINT) AS n_shingles, component_id, d.doc_id IS NOT DISTINCT FROM component_id AS kept
+FROM d JOIN least_id USING (rid) LEFT JOIN size USING (rid)
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_classifier": op1_quality_classifier,
@@ -239,8 +262,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_pack": op10_pack,
         "op11_target_encoding": op11_target_encoding,
         "op12_source_divergence": op12_source_divergence,
+        "op13_hamming_join": op13_hamming_join,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_decontaminate": OP6_SQL, "op7_warc": OP7_SQL, "op8_secret_scan": secret_scan_sql(), "op9_jaccard_join": OP9_SQL, "op11_target_encoding": OP11_SQL, "op12_source_divergence": OP12_SQL}
+    return {"op6_decontaminate": OP6_SQL, "op7_warc": OP7_SQL, "op8_secret_scan": secret_scan_sql(), "op9_jaccard_join": OP9_SQL, "op11_target_encoding": OP11_SQL, "op12_source_divergence": OP12_SQL, "op13_hamming_join": OP13_SQL}
