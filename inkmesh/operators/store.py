@@ -13,8 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkmesh.functions.text import is_blank, raw_title, saved_title, sanitize_title, stored_category
+from inkmesh.operators.asof import last_before
+from inkmesh.operators.components import connected
 from inkmesh.operators.graph import within
 from inkmesh.schemas import NOTES
+from inkmesh.sources.scratch import scratch, written
 
 END = ["source_note_id", "target_note_id"]
 
@@ -111,53 +114,118 @@ def save_new(notes: DataFrame, saves: DataFrame) -> DataFrame:
     )
 
 
-def save_replay(notes: DataFrame, saves: DataFrame) -> DataFrame:
-    """Replays saves that may name ids (pos, note_id or NULL, new_id, content, category, ts).
+#: Titles of one id up to which its saves may part the runs of those titles (see ``_thinned``).
+FEW_TITLES = 8
+_NEW = 1 << 62
 
-    Whether a save overwrites depends on the titles left by those before it
-    (saving under a title another note has overwrites that note and leaves the
-    named one alone), so the log of one store is replayed in order by one
-    task.  A store is one user's notes; give ``store`` columns to replay many
-    stores at once, each in a group of its own.
+
+def _thinned(log: DataFrame, held: DataFrame, keys: list[str], folder: str) -> DataFrame:
+    """Positions of the saves that a replay needs (store keys, pos).
+
+    ``log`` has the keys, pos, note_id, new_id, title and sure (whether the save
+    names no note, or one that was there before); ``held`` has (title, note_id) for
+    all titles that a note may ever have.  A title can lose its note only at
+    a save that gives one of its notes another title.  Between two such saves
+    the title, once it surely has a note, keeps it, so that all later ones but
+    the last only write what is overwritten.  Titles of notes that are given more than
+    ``FEW_TITLES`` titles are not thinned.
+    """
+    titles = written(held.distinct(), folder, "held")
+    few = titles.groupBy(*keys, "note_id").agg(F.count("*").alias("__titles"))
+    many = written(few.where(F.col("__titles") > FEW_TITLES), folder, "many")
+    whole = titles.join(many, [*keys, "note_id"], "left_semi").select(*keys, "title").distinct()
+    whole = written(whole.withColumn("__whole", F.lit(True)), folder, "whole")
+    tied = titles.join(many, [*keys, "note_id"], "left_anti").withColumnRenamed("title", "__other")
+    moves = log.where("note_id is not null").join(tied, [*keys, "note_id"]).where("title <> __other").select(*keys, F.col("__other").alias("title"), "pos").distinct()
+    moves = written(moves.withColumn("__move", F.col("pos")), folder, "moves")
+    runs = written(last_before(log, moves, [*keys, "title"], "pos", ["__move"], folder=folder), folder, "runs")
+    ends = runs.groupBy(*keys, "title", F.coalesce("__move", F.lit(-1)).alias("__move")).agg(F.min(F.when(F.col("sure"), F.col("pos"))).alias("__sure"), F.max("pos").alias("__last"))
+    ends = written(ends.join(whole, [*keys, "title"], "left"), folder, "ends")
+    marked = runs.withColumn("__move", F.coalesce("__move", F.lit(-1))).join(ends, [*keys, "title", "__move"])
+    return marked.where(F.col("__whole") | F.col("__sure").isNull() | (F.col("pos") <= F.col("__sure")) | (F.col("pos") == F.col("__last"))).select(*keys, "pos")
+
+
+def save_replay(notes: DataFrame, saves: DataFrame, folder: str | None = None) -> DataFrame:
+    """Replays saves that may name ids (pos, note_id or NULL, new_id, content, category, ts), in order of ``pos`` (unique).
+
+    A save whose title a note has overwrites the earliest such note and leaves the
+    named one alone; else it makes a note, or gives the named one its text and title.
+    So whether a save overwrites depends on the titles left by those before it,
+    but only through titles and notes that the log ties together: saves, and the
+    notes that they can reach, are parted into the connected components of
+    titles and ids, and each component is replayed by itself.  Before that, saves
+    of which nothing stays and nothing depends are left out (``_thinned``), so that
+    a title of very many saves is a few rows.  Notes of which no title or id
+    occurs in the log never leave their place; of those that share a title with
+    a save but are not named, only the earliest is looked at.
+
+    New notes follow the old ones, in order of their saves (``seq`` with gaps).
+    A save that names no known note does nothing; ids of new notes that are taken
+    raise.  Give ``store`` columns to replay many stores at once.
     """
+    folder = folder or scratch(notes.sparkSession)
     keys = ["store"] if "store" in notes.columns else []
-    titled = saves.withColumns({"title": saved_title(F.col("content")), "category": stored_category(F.col("category"))})
     columns = [*keys, *NOTES.fieldNames()]
+    spread = lambda *names: [*keys, *names]
+    titled = written(saves.select(*spread("pos", "note_id", "new_id", "content", "ts"), saved_title(F.col("content")).alias("title"), stored_category(F.col("category")).alias("category")), folder, "saves")
+    names = titled.select(*spread("new_id")).where("new_id is not null").withColumnRenamed("new_id", "id")
+    fresh_ids = titled.where("note_id is null").select(*spread("new_id")).withColumnRenamed("new_id", "id")
+    if fresh_ids.where("id is null").limit(1).count() or names.groupBy(*spread("id")).count().where("count > 1").limit(1).count() or names.join(notes.select(*spread("id")), spread("id"), "left_semi").limit(1).count():
+        raise ValueError("the ids of new notes must be new, and differ")
+
+    known = notes.select(*spread("id"), F.lit(True).alias("sure")).withColumnRenamed("id", "note_id")
+    log = titled.select(*spread("pos", "note_id", "new_id", "title")).join(known, spread("note_id"), "left")
+    log = written(log.select(*spread("pos", "note_id", "new_id", "title"), (F.col("note_id").isNull() | F.col("sure").isNotNull()).alias("sure")), folder, "log")
+    named = written(log.where("note_id is not null").select(*spread("note_id")).distinct(), folder, "named")
+    moving = written(notes.join(named.withColumnRenamed("note_id", "id"), spread("id"), "left_semi").select(*spread("id", "title", "seq")), folder, "moving")
+    held = moving.select(*spread("title", F.col("id").alias("note_id"))).unionByName(log.where("note_id is not null").select(*spread("title", "note_id")))
+    made = log.where("note_id is null").select(*spread("title", F.col("new_id").alias("note_id"))).join(named, spread("note_id"), "left_semi")
+    kept = written(titled.join(_thinned(log, held.unionByName(made.select(*held.columns)), keys, folder), spread("pos"), "left_semi"), folder, "kept")
+
+    still = notes.select(*spread("id", "title", "seq")).join(kept.select(*spread("title")).distinct(), spread("title"), "left_semi").join(named.withColumnRenamed("note_id", "id"), spread("id"), "left_anti")
+    still = still.groupBy(*spread("title")).agg(F.min_by("id", "seq").alias("id"))
+    reached = written(moving.select(*spread("id", "title")).unionByName(still.select(*spread("id", "title"))), folder, "reached")
+
+    # equal hashes of different names only join components, which changes no result
+    node = lambda kind, c: F.xxhash64(F.lit(kind), *keys, c)
+    of_notes = reached.select(node("title", "title").alias("a"), node("id", "id").alias("b"))
+    of_saves = kept.select(node("title", "title").alias("a"), node("id", F.coalesce("note_id", "new_id")).alias("b"))
+    component = written(connected(of_notes.unionByName(of_saves).distinct(), f"{folder}/ties"), folder, "components").withColumnRenamed("node", "__node")
+    placed = lambda df: df.withColumn("__node", node("title", "title")).join(component, "__node").drop("__node")
+    old = written(placed(notes.select(*columns).join(reached.select(*spread("id")), spread("id"), "left_semi")), folder, "old_placed")
+    new = written(placed(kept), folder, "kept_placed")
+    end = F.coalesce(F.max("seq"), F.lit(-1)).alias("__end")
+    ends = notes.groupBy(*keys).agg(end) if keys else notes.agg(end)
     schema = notes.select(columns).schema
 
-    def replay(old: Iterator[pd.DataFrame] | pd.DataFrame, log: pd.DataFrame) -> pd.DataFrame:
-        rows = {r["id"]: r for r in old.sort_values("seq").to_dict("records")}
-        by_title: dict[str, list[str]] = {}
+    def replay(before: pd.DataFrame, log: pd.DataFrame) -> pd.DataFrame:
+        rows = {r["id"]: r for r in before.drop(columns="component").sort_values("seq").to_dict("records")}
+        holders: dict[str, set[str]] = {}
         for r in rows.values():
-            by_title.setdefault(r["title"], []).append(r["id"])
-        top = max((r["seq"] for r in rows.values()), default=-1)
-        order = {i: r["seq"] for i, r in rows.items()}
+            holders.setdefault(r["title"], set()).add(r["id"])
         for s in log.sort_values("pos").to_dict("records"):
-            owners = by_title.get(s["title"])
-            target = min(owners, key=order.__getitem__) if owners else s["note_id"]
-            value = {"title": s["title"], "content": s["content"], "category": s["category"], "updated_at": s["ts"]}
-            if target is None or (isinstance(target, float) and target != target):
-                top += 1
-                target = s["new_id"]
-                rows[target] = {**{k: s[k] for k in keys}, "id": target, "created_at": s["ts"], "seq": top, **value}
-                order[target] = top
-            elif target in rows:
-                before = rows[target]["title"]
-                if before != s["title"]:
-                    by_title[before].remove(target)
-                    if not by_title[before]:
-                        del by_title[before]
-                elif owners:
-                    by_title[before].remove(target)
-                rows[target].update(value)
+            title, owners = s["title"], holders.setdefault(s["title"], set())
+            value = {"title": title, "content": s["content"], "category": s["category"], "updated_at": s["ts"]}
+            if owners:
+                target = min(owners, key=lambda i: rows[i]["seq"])
+            elif isinstance(s["note_id"], str):
+                target = s["note_id"]
+                if target not in rows:
+                    continue
+                holders[rows[target]["title"]].discard(target)
             else:
-                continue  # an update of an unknown id does nothing
-            by_title.setdefault(s["title"], []).append(target)
+                target = s["new_id"]
+                rows[target] = {**{k: s[k] for k in keys}, "id": target, "created_at": s["ts"], "seq": _NEW + s["pos"]}
+            owners.add(target)
+            rows[target].update(value)
         return pd.DataFrame(list(rows.values()), columns=columns)
 
-    one = lambda df: df if keys else df.withColumn("__one", F.lit(0))
-    by = keys or ["__one"]
-    return one(notes.select(columns)).groupBy(*by).cogroup(one(titled).groupBy(*by)).applyInPandas(replay, schema)
+    after = old.groupBy("component").cogroup(new.groupBy("component")).applyInPandas(replay, schema)
+    # new notes come out with places above all others, and get those after the store's last
+    after = written(after, folder, "after")
+    numbered = after.join(F.broadcast(ends), keys, "left") if keys else after.join(F.broadcast(ends), F.lit(True))
+    after = numbered.withColumn("seq", F.when(F.col("seq") >= _NEW, F.coalesce("__end", F.lit(-1)) + 1 + F.col("seq") - _NEW).otherwise(F.col("seq"))).select(*columns)
+    return notes.select(*columns).join(reached.select(*spread("id")), spread("id"), "left_anti").select(*columns).unionByName(after)
 
 
 def save_by_id(notes: DataFrame, note_id: str, content: str, category: str, ts: Column) -> DataFrame:

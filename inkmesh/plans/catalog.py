@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkmesh.functions import geometry, jsonnotes, markdown, text
-from inkmesh.operators import browse, graph, store
+from inkmesh.operators import browse, graph, ordinals, store
 from inkmesh.plans import ingest
 from inkmesh.sources import views
 from inkmesh.streaming.debounce import debounce_batch
@@ -230,6 +230,54 @@ def save_replay(spark, d):
     return store.save_new(empty, saves).select("title", "id", "content", "category", "created_at", "updated_at")
 
 
+#: Events stand for saves: of a document's title or one of 700 others, naming no note, a document, or a note made before.
+_SAVES = f"""saves AS (
+  SELECT k, note_id, 'e' || CAST(k AS VARCHAR) AS new_id, content, CASE WHEN t = '' THEN 'Untitled Note' ELSE t END AS title, category, ts FROM (
+    SELECT *, {_title('content')} AS t FROM (
+      SELECT e.event_id AS k, e.ts, CASE WHEN e.event_id % 11 = 0 THEN '' ELSE e.event_type END AS category,
+             CASE e.event_id % 4 WHEN 0 THEN NULL WHEN 3 THEN 'e' || CAST(e.event_id // 4 * 4 - 40 AS VARCHAR) ELSE CAST((e.event_id * 17 + 3) % (SELECT count(*) FROM documents) AS VARCHAR) END AS note_id,
+             '# ' || CASE WHEN e.event_id % 3 = 0 THEN n.title ELSE 'Event ' || CAST(e.event_id * 7 % 700 AS VARCHAR) END || chr(10) || 'event ' || CAST(e.event_id AS VARCHAR) AS content
+      FROM events e JOIN notes n ON n.seq = (e.event_id * 31 + 7) % (SELECT count(*) FROM documents))))"""
+
+
+def _saves(spark, d, n):
+    k, text_of = F.col("event_id"), lambda c: c.cast("string")
+    events = views.table(spark, d, "events").select("event_id", "ts", "event_type")
+    rows = events.join(F.broadcast(n.agg(F.count("*").alias("n"))), F.lit(True)).withColumn("at", (k * 31 + 7) % F.col("n"))
+    rows = rows.join(n.select(F.col("seq").alias("at"), "title"), "at")
+    named = F.when(k % 4 == 3, F.concat(F.lit("e"), text_of(F.call_function("div", k, F.lit(4)) * 4 - 40))).when(k % 4 > 0, text_of((k * 17 + 3) % F.col("n")))
+    title = F.when(k % 3 == 0, F.col("title")).otherwise(F.concat(F.lit("Event "), text_of(k * 7 % 700)))
+    content = F.concat(F.lit("# "), title, F.lit("\nevent "), text_of(k))
+    category = F.when(k % 11 == 0, text.ALL_NOTES).otherwise(F.col("event_type"))
+    return rows.select(k.alias("pos"), named.alias("note_id"), F.concat(F.lit("e"), text_of(k)).alias("new_id"), content.alias("content"), category.alias("category"), F.col("ts").cast("timestamp_ntz").alias("ts"))
+
+
+@_query(
+    "save_replay_ids",
+    f"""WITH RECURSIVE {_NOTES}, {_SAVES},
+ titles AS MATERIALIZED (SELECT title, CAST(row_number() OVER () AS INTEGER) AS t FROM (SELECT title FROM notes UNION SELECT title FROM saves)),
+ log AS MATERIALIZED (SELECT k, note_id, new_id, t FROM saves JOIN titles USING (title)),
+ state(id, t, seq, last, step) USING KEY (id) AS (
+  SELECT id, t, seq, CAST(NULL AS BIGINT), CAST(NULL AS BIGINT) FROM notes JOIN titles USING (title)
+  UNION ALL SELECT '#', 0, -1, NULL, (SELECT min(k) FROM saves)
+  UNION
+  SELECT u.* FROM (
+    SELECT s.*, (SELECT arg_min(r.id, r.seq) FROM recurring.state r WHERE r.t = s.t) AS owner FROM state w JOIN log s ON s.k = w.step WHERE w.id = '#') x,
+  LATERAL (
+    SELECT '#', 0, -1, CAST(NULL AS BIGINT), x.k + 1
+    UNION ALL SELECT x.new_id, x.t, 1000000000 + x.k, x.k, NULL WHERE x.owner IS NULL AND x.note_id IS NULL
+    UNION ALL SELECT r.id, x.t, r.seq, x.k, NULL FROM recurring.state r WHERE r.id = coalesce(x.owner, x.note_id)) u)
+ SELECT s.id, titles.title, CASE WHEN v.k IS NULL THEN n.content ELSE v.content END AS content, CASE WHEN v.k IS NULL THEN n.category ELSE v.category END AS category, coalesce(v.ts, TIMESTAMP '2024-01-01') AS updated_at, row_number() OVER (ORDER BY s.seq) AS place
+ FROM state s JOIN titles ON titles.t = s.t LEFT JOIN notes n ON n.id = s.id LEFT JOIN saves v ON v.k = s.last""",
+)
+def save_replay_ids(spark, d):
+    """A log of saves with and without ids, in order, over the whole store of documents."""
+    day = F.lit("2024-01-01").cast("timestamp_ntz")
+    n = views.notes(spark, d)
+    after = store.save_replay(n.select("id", "title", "content", "category", day.alias("created_at"), day.alias("updated_at"), "seq"), _saves(spark, d, n))
+    return ordinals.numbered(after, ["seq"], "place").select("id", "title", "content", "category", "updated_at", (F.col("place") + 1).alias("place"))
+
+
 _NEW_TITLE = "CASE WHEN seq % 5 = 0 THEN '##' WHEN seq % 5 = 1 THEN '  ' ELSE '# ' || title || ' *2*' END"
 
 
@@ -280,7 +328,7 @@ def unresolved_connections(spark, d):
     return graph.resolve(_connections(n), browse.title_last(n))[1]
 
 
-#: A quarter of the documents stand for generated notes: title, content and two connections each.
+#: The documents stand for generated notes, in three batches: title, content and two connections each.
 _GENERATED = """generated AS (SELECT 'b' || CAST(doc_id % 3 AS VARCHAR) AS batch_id, doc_id AS pos, 'g' || CAST(doc_id AS VARCHAR) AS id, raw AS gtitle, content, lang AS general_title, raws FROM (
   SELECT d.doc_id, d.lang, split_part(d.text, chr(10), 1) AS raw, 'see ' || CAST(d.doc_id AS VARCHAR) AS content, [split_part(e.text, chr(10), 1), 'Missing ' || CAST(d.doc_id AS VARCHAR)] AS raws
   FROM documents d JOIN documents e ON e.doc_id = d.doc_id * 3 % (SELECT count(*) FROM documents)))"""
@@ -307,19 +355,27 @@ def ingest_notes(spark, d):
     return _fresh(spark, d).select("id", "title", "content", "category")
 
 
-@_query("title_map_priority", f"WITH {_GENERATED}, {_FRESH} SELECT batch_id, title, arg_max(id, pos) AS id FROM fresh GROUP BY batch_id, title")
-def title_map_priority(spark, d):
-    return ingest.title_map(views.notes(spark, d), _fresh(spark, d))
+_INGEST = f"""WITH {_NOTES}, {_GENERATED}, {_FRESH}, old AS (SELECT title, arg_max(id, seq) AS id FROM notes GROUP BY title),
+ own AS (SELECT batch_id, title, arg_max(id, pos) AS id FROM fresh GROUP BY batch_id, title),
+ wanted AS (SELECT batch_id, id AS source_note_id, {_title('raw')} AS title FROM (SELECT batch_id, id, unnest(raws) AS raw FROM fresh)),
+ asked AS (SELECT batch_id, title FROM wanted UNION SELECT batch_id, title FROM fresh),
+ seen AS (SELECT a.batch_id, a.title, arg_max(o.id, o.batch_id) AS id FROM asked a JOIN own o ON o.title = a.title AND o.batch_id <= a.batch_id GROUP BY ALL),
+ titles AS (SELECT a.batch_id, a.title, coalesce(s.id, old.id) AS id FROM asked a LEFT JOIN seen s ON s.batch_id = a.batch_id AND s.title = a.title LEFT JOIN old ON old.title = a.title),
+ found AS (SELECT w.batch_id, w.source_note_id, w.title, t.id AS target_note_id FROM wanted w JOIN titles t ON t.batch_id = w.batch_id AND t.title = w.title) """
 
 
-_INGEST = f"""WITH {_NOTES}, {_GENERATED}, {_FRESH}, own AS (SELECT batch_id, title, arg_max(id, pos) AS id FROM fresh GROUP BY batch_id, title),
- old AS (SELECT title, arg_max(id, seq) AS id FROM notes GROUP BY title),
- wanted AS (SELECT batch_id, id AS source_note_id, {_title('raw')} AS title FROM (SELECT batch_id, id, unnest(raws) AS raw FROM fresh)),
- found AS (SELECT w.batch_id, w.source_note_id, w.title, coalesce(own.id, old.id) AS target_note_id FROM wanted w LEFT JOIN own ON own.batch_id = w.batch_id AND own.title = w.title LEFT JOIN old ON old.title = w.title) """
+@_query("title_map_priority", _INGEST + "SELECT batch_id, title, id FROM titles")
+def title_map_priority(spark, d):
+    """What each batch finds under the titles that it asks for or makes: own notes, then earlier batches', then existing ones."""
+    fresh = ingest.with_batch_numbers(_fresh(spark, d))
+    asked = fresh.select("batch_id", "batch_no", F.explode("connections").alias("raw")).select("batch_id", "batch_no", text.sanitize_title(F.col("raw")).alias("title"))
+    asked = asked.unionByName(fresh.select("batch_id", "batch_no", "title")).distinct()
+    return ingest.title_map(views.notes(spark, d), fresh, asked).select("batch_id", "title", "id")
 
 
 @_query("ingest_links", _INGEST + "SELECT DISTINCT source_note_id, target_note_id FROM found WHERE target_note_id IS NOT NULL")
 def ingest_links(spark, d):
+    """Three batches in order: the later ones link to notes of the earlier ones."""
     return ingest.new_links(views.notes(spark, d), _fresh(spark, d))[0]
 
 
@@ -328,6 +384,51 @@ def ingest_unresolved(spark, d):
     return ingest.new_links(views.notes(spark, d), _fresh(spark, d))[1]
 
 
+@_query("ingest_seq", f"WITH {_NOTES}, {_GENERATED}, {_FRESH} SELECT id, title, (SELECT max(seq) FROM notes) + row_number() OVER (ORDER BY batch_id, pos) AS seq FROM fresh")
+def ingest_seq(spark, d):
+    """Places of ingested notes: without gaps, in order of batch and place."""
+    return ingest.placed(views.notes(spark, d), _fresh(spark, d)).select("id", "title", "seq")
+
+
+_STATUS = """CASE event_id % 8 WHEN 3 THEN 'empty' WHEN 4 THEN 'empty' WHEN 5 THEN CASE WHEN CAST(json_extract(props, '$.k') AS VARCHAR) = '0' THEN 'empty' ELSE 'error' END WHEN 7 THEN 'error' ELSE 'ok' END"""
+
+
+def _mixed_replies(spark, d):
+    """Event properties in replies of eight shapes: whole, without keys, explicit null, no JSON, no notes, a number, fenced, bad connections."""
+    e = views.table(spark, d, "events")
+    k = F.get_json_object("props", "$.k")
+    content = F.concat(F.lit('"content":"'), k, F.lit('"'))
+    shapes = [
+        F.concat(F.lit('[{"title":"T","general_title":"G",'), content, F.lit("}]")),
+        F.concat(F.lit("[{"), content, F.lit("}, {}]")),
+        F.concat(F.lit('[{"title":null,'), content, F.lit("}]")),
+        F.concat(F.lit("sorry: "), k),
+        F.lit("[]"),
+        k,
+        F.concat(F.lit('```json\n[{"title":"F",'), content, F.lit("}]\n```")),
+        F.concat(F.lit('[{"title":"T"},{"connections":[1],'), content, F.lit("}]")),
+    ]
+    reply = F.element_at(F.array(*shapes), (F.col("event_id") % 8 + 1).cast("int"))
+    return e.select(F.col("event_id").alias("batch_id"), reply.alias("reply"))
+
+
+@_query(
+    "reply_defaults",
+    """WITH e AS (SELECT event_id, CAST(json_extract(props, '$.k') AS VARCHAR) AS k FROM events)
+ SELECT CAST(event_id AS VARCHAR) AS batch_id, 0 AS pos, CASE event_id % 8 WHEN 0 THEN 'T' WHEN 1 THEN 'Untitled Note' WHEN 2 THEN NULL ELSE 'F' END AS title, k AS content, CASE event_id % 8 WHEN 0 THEN 'G' ELSE 'AI Generated' END AS general_title FROM e WHERE event_id % 8 IN (0, 1, 2, 6)
+ UNION ALL SELECT CAST(event_id AS VARCHAR), 1, 'Untitled Note', '', 'AI Generated' FROM e WHERE event_id % 8 = 1""",
+)
+def reply_defaults(spark, d):
+    """Defaults stand in for missing keys, not for explicit nulls; spoilt replies give no notes."""
+    return jsonnotes.generated_notes(_mixed_replies(spark, d)).select("batch_id", "pos", "title", "content", "general_title")
+
+
+@_query("reply_status", f"SELECT CAST(event_id AS VARCHAR) AS batch_id, {_STATUS} AS status FROM events")
+def reply_status(spark, d):
+    """How each run ends: with notes, without any, or with an error."""
+    return jsonnotes.reply_status(_mixed_replies(spark, d))
+
+
 @_query("parse_replies", """SELECT CAST(event_id AS VARCHAR) AS batch_id, 0 AS pos, 'k' || CAST(json_extract(props, '$.k') AS VARCHAR) AS title, props AS content, 'AI Generated' AS general_title FROM events""")
 def parse_replies(spark, d):
     """Event properties wrapped as a generator's fenced replies, parsed strictly."""

@@ -111,7 +111,7 @@ SAVE = st.tuples(st.sampled_from([None, None, "a", "b", "c", "zz"]), st.sampled_
 START = [("a", "P", "k"), ("b", "P", ""), ("c", "Q", "")]
 
 
-@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.lists(SAVE, min_size=1, max_size=10))
 def test_saves_equal_the_model(spark, saves):
     n = notes(spark, START)
