@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from inkmesh.functions import geometry, jsonnotes, markdown, text
 from inkmesh.operators import browse, graph, ordinals, store
 from inkmesh.plans import ingest
-from inkmesh.sources import views
+from inkmesh.sources import snapshot, views
+from inkmesh.sources.scratch import scratch
 from inkmesh.streaming.debounce import debounce_batch
 
 # --- SQL building blocks ----------------------------------------------------
@@ -303,6 +304,42 @@ def settings_lww(spark, d):
     return store.settings_after(views.settings_log(spark, d))
 
 
+#: A store after a commit of everything, renames, a deleted category, deleted notes, new links, removed links, and a new note.
+_CHANGED = f"""{_BOTH}, {_WANTED}, r AS (SELECT *, {_title(f'({_NEW_TITLE})')} AS t FROM notes),
+ renamed AS (SELECT id, CASE WHEN t = '' THEN title ELSE t END AS title, CASE WHEN t = '' THEN category ELSE 'renamed' END AS category, seq FROM r),
+ left_over AS (SELECT * FROM renamed WHERE category IS DISTINCT FROM '{CATEGORY}' AND seq % 7 <> 3),
+ n AS (SELECT * FROM left_over UNION ALL SELECT 'new', 'New', 'added', (SELECT max(seq) FROM left_over) + 1),
+ l AS (SELECT source_note_id, target_note_id FROM (SELECT * FROM links UNION SELECT * FROM wanted) WHERE source_note_id IN (SELECT id FROM left_over) AND target_note_id IN (SELECT id FROM left_over) AND CAST(source_note_id AS BIGINT) % 5 <> 1)"""
+
+
+def _changed_store(spark, d):
+    n, ids = views.notes(spark, d), lambda df, e: df.where(e).select("id")
+    day = F.lit("2024-01-01").cast("timestamp_ntz")
+    n = n.select("id", "title", "content", "category", day.alias("created_at"), day.alias("updated_at"), "seq")
+    s = snapshot.Store(spark, scratch(spark))
+    s.publish(notes=n, note_links=views.links(spark, d))
+    s.rename_notes(_renames(n))
+    s.delete_category(CATEGORY)
+    s.delete_notes(ids(n, F.col("seq") % 7 == 3))
+    s.compact("notes")
+    s.insert_links(graph.within(_wanted_links(spark, d), s.read("notes")))
+    s.unlink(s.read("note_links").where(F.col("source_note_id").cast("long") % 5 == 1))
+    s.insert_notes(spark.range(1).select(F.lit("new").alias("id"), F.lit("New").alias("title"), F.lit("# New").alias("content"), F.lit("added").alias("category"), day.alias("ts"), F.lit(0).alias("pos")))
+    return s
+
+
+@_query("store_notes", f"{_CHANGED} SELECT id, title, category, seq FROM n")
+def store_notes(spark, d):
+    """Notes of a store after eight commits, read by merging their changes."""
+    return _changed_store(spark, d).read("notes").select("id", "title", "category", "seq")
+
+
+@_query("store_links", f"{_CHANGED} SELECT source_note_id, target_note_id FROM l")
+def store_links(spark, d):
+    """All links of that store."""
+    return _changed_store(spark, d).read("note_links")
+
+
 # --- ingest -----------------------------------------------------------------
 
 _CONNECTIONS = f"wanted AS (SELECT id AS source_note_id, {_title('raw')} AS title FROM (SELECT n.id, CASE WHEN n.seq % 6 = 5 THEN 'No Such Title ' || n.id ELSE t.title END AS raw FROM notes n JOIN (SELECT seq, title FROM notes) t ON t.seq = (n.seq * 31 + 7) % (SELECT count(*) FROM notes)))"

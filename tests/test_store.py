@@ -169,7 +169,7 @@ def test_snapshots(spark, tmp_path):
     assert s.publish(notes=left, note_links=links) == 2
     assert (s.read("notes").count(), s.read("note_links").count(), s.read("notes", 1).count()) == (4, 3, 5)
     assert s.publish(settings=spark.createDataFrame([("theme", "dark")], SETTINGS)) == 3 and s.read("notes").count() == 4
-    (tmp_path / "store" / "published" / "v=9").mkdir()  # a commit that broke off
+    (tmp_path / "store" / "commits" / "_v9").write_text("")  # a commit that broke off
     assert s.version() == 3
 
 
