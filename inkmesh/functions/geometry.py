@@ -68,23 +68,46 @@ def zoom_step(zoom: float, offset_x: float, offset_y: float, wheel: float, x: fl
     return new, offset_x + x / new - x / zoom, offset_y + y / new - y / zoom
 
 
-def view_after(events: DataFrame, zoom: float = 1.0, offset_x: float = 0.0, offset_y: float = 0.0) -> DataFrame:
+#: Places of a session's log that are folded as one array.
+FOLD_WIDTH = 4096
+
+
+def view_after(events: DataFrame, zoom: float = 1.0, offset_x: float = 0.0, offset_y: float = 0.0, width: int = FOLD_WIDTH) -> DataFrame:
     """Folds pan and wheel events of each session, in order of seq, into its last view.
 
-    ``events`` has session, seq, kind ('pan' or 'wheel'), dx, dy (pan), wheel, x, y.
-    A session is one user's gestures, so its array is short.
+    ``events`` has session, seq (a whole number), kind ('pan' or 'wheel'), dx, dy
+    (pan), wheel, x, y.  A session's log is folded in pieces of ``width`` places,
+    so no session is in one array.  What a piece does to the zoom is a product
+    within bounds, and such pieces compose; that gives the zoom at which each
+    piece begins, and with that its pieces' moves can be summed in any order
+    (results agree with one fold but for rounding).
     """
-    start = F.struct(F.lit(float(zoom)).alias("z"), F.lit(float(offset_x)).alias("ox"), F.lit(float(offset_y)).alias("oy"))
+    wheel_factor = lambda e: F.when(e["wheel"] > 0, ZOOM_IN).otherwise(ZOOM_OUT)
+    bounded = lambda z, low, high: F.greatest(low, F.least(z, high))
+    least, most = F.lit(ZOOM_LEAST), F.lit(ZOOM_MOST)
+
+    def scaled(f: Column, e: Column) -> Column:
+        """z -> bounded(factor * z, low, high), followed by the event."""
+        k = wheel_factor(e)
+        after = F.struct((f["factor"] * k).alias("factor"), bounded(f["low"] * k, least, most).alias("low"), bounded(f["high"] * k, least, most).alias("high"))
+        return F.when(e["kind"] == "pan", f).otherwise(after)
 
     def step(v: Column, e: Column) -> Column:
-        wheel = F.greatest(F.lit(ZOOM_LEAST), F.least(v["z"] * F.when(e["wheel"] > 0, ZOOM_IN).otherwise(ZOOM_OUT), F.lit(ZOOM_MOST)))
-        return F.when(e["kind"] == "pan", F.struct(v["z"].alias("z"), (v["ox"] + e["dx"] / v["z"]).alias("ox"), (v["oy"] + e["dy"] / v["z"]).alias("oy"))).otherwise(
-            F.struct(wheel.alias("z"), (v["ox"] + e["x"] / wheel - e["x"] / v["z"]).alias("ox"), (v["oy"] + e["y"] / wheel - e["y"] / v["z"]).alias("oy"))
-        )
-
-    log = events.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("seq", "kind", *[F.col(c).cast("double").alias(c) for c in ("dx", "dy", "wheel", "x", "y")]))).alias("log"))
-    view = F.aggregate("log", start, step)
-    return log.select("session", view.alias("v")).select("session", F.col("v.z").alias("zoom"), F.col("v.ox").alias("offset_x"), F.col("v.oy").alias("offset_y"))
+        z = bounded(v["z"] * wheel_factor(e), least, most)
+        panned = F.struct(v["z"].alias("z"), (v["ox"] + e["dx"] / v["z"]).alias("ox"), (v["oy"] + e["dy"] / v["z"]).alias("oy"))
+        zoomed = F.struct(z.alias("z"), (v["ox"] + e["x"] / z - e["x"] / v["z"]).alias("ox"), (v["oy"] + e["y"] / z - e["y"] / v["z"]).alias("oy"))
+        return F.when(e["kind"] == "pan", panned).otherwise(zoomed)
+
+    piece = F.floor(F.col("seq") / F.lit(width)).cast("long")
+    event = F.struct("seq", "kind", *[F.col(c).cast("double").alias(c) for c in ("dx", "dy", "wheel", "x", "y")])
+    logs = events.groupBy("session", piece.alias("piece")).agg(F.array_sort(F.collect_list(event)).alias("log"))
+    same = F.struct(F.lit(1.0).alias("factor"), F.lit(0.0).alias("low"), F.lit(float("inf")).alias("high"))
+    effects = logs.select("session", "piece", F.aggregate("log", same, scaled).alias("f")).groupBy("session").agg(F.array_sort(F.collect_list(F.struct("piece", "f"))).alias("pieces"))
+    begun = F.struct(F.lit(float(zoom)).alias("z"), F.array().cast("array<struct<piece:bigint,z:double>>").alias("starts"))
+    along = lambda acc, p: F.struct(bounded(acc["z"] * p["f"]["factor"], p["f"]["low"], p["f"]["high"]).alias("z"), F.concat(acc["starts"], F.array(F.struct(p["piece"].alias("piece"), acc["z"].alias("z")))).alias("starts"))
+    starts = effects.select("session", F.explode(F.aggregate("pieces", begun, along, lambda acc: acc["starts"])).alias("s")).select("session", "s.piece", "s.z")
+    moved = logs.join(starts, ["session", "piece"]).select("session", "piece", F.aggregate("log", F.struct("z", F.lit(0.0).alias("ox"), F.lit(0.0).alias("oy")), step).alias("v"))
+    return moved.groupBy("session").agg(F.max_by("v.z", "piece").alias("zoom"), (F.sum("v.ox") + offset_x).alias("offset_x"), (F.sum("v.oy") + offset_y).alias("offset_y"))
 
 
 def palette_index(level: Column, colours: int) -> Column:

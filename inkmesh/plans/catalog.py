@@ -8,11 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkmesh.functions import geometry, jsonnotes, markdown, text
+from inkmesh.functions import geometry, ids, jsonnotes, markdown, text
 from inkmesh.operators import browse, graph, ordinals, store
 from inkmesh.plans import ingest
 from inkmesh.sources import snapshot, views
 from inkmesh.sources.scratch import scratch
+from inkmesh.streaming import views as live
 from inkmesh.streaming.debounce import debounce_batch
 
 # --- SQL building blocks ----------------------------------------------------
@@ -313,14 +314,14 @@ _CHANGED = f"""{_BOTH}, {_WANTED}, r AS (SELECT *, {_title(f'({_NEW_TITLE})')} A
 
 
 def _changed_store(spark, d):
-    n, ids = views.notes(spark, d), lambda df, e: df.where(e).select("id")
+    n, where = views.notes(spark, d), lambda df, e: df.where(e).select("id")
     day = F.lit("2024-01-01").cast("timestamp_ntz")
     n = n.select("id", "title", "content", "category", day.alias("created_at"), day.alias("updated_at"), "seq")
     s = snapshot.Store(spark, scratch(spark))
     s.publish(notes=n, note_links=views.links(spark, d))
     s.rename_notes(_renames(n))
     s.delete_category(CATEGORY)
-    s.delete_notes(ids(n, F.col("seq") % 7 == 3))
+    s.delete_notes(where(n, F.col("seq") % 7 == 3))
     s.compact("notes")
     s.insert_links(graph.within(_wanted_links(spark, d), s.read("notes")))
     s.unlink(s.read("note_links").where(F.col("source_note_id").cast("long") % 5 == 1))
@@ -525,6 +526,76 @@ def hit_test(spark, d):
     return geometry.hit_test(views.nodes(spark, d), *_POINT).select("id")
 
 
+_GESTURE = """SELECT CAST(user_id AS VARCHAR) AS session, event_id AS seq, CASE WHEN event_id % 3 = 0 THEN 'wheel' ELSE 'pan' END AS kind, CAST(event_id * 7 % 41 - 20 AS DOUBLE) AS dx, CAST(event_id * 11 % 31 - 15 AS DOUBLE) AS dy,
+ CAST(CASE WHEN event_id * 5 % 7 < 4 THEN 120 ELSE -120 END AS DOUBLE) AS wheel, CAST(event_id * 37 % 800 AS DOUBLE) AS x, CAST(event_id * 53 % 600 AS DOUBLE) AS y FROM events"""
+
+
+def _gestures(events):
+    k, number = F.col("event_id"), lambda c: c.cast("double")
+    return events.select(
+        F.col("user_id").cast("string").alias("session"), k.alias("seq"), F.when(k % 3 == 0, "wheel").otherwise("pan").alias("kind"), number(k * 7 % 41 - 20).alias("dx"), number(k * 11 % 31 - 15).alias("dy"),
+        number(F.when(k * 5 % 7 < 4, 120).otherwise(-120)).alias("wheel"), number(k * 37 % 800).alias("x"), number(k * 53 % 600).alias("y"),
+    )
+
+
+_ZOOMED = "greatest(CAST(0.1 AS DOUBLE), least(a.z * CASE WHEN e.wheel > 0 THEN CAST(1.1 AS DOUBLE) ELSE CAST(0.9 AS DOUBLE) END, CAST(5.0 AS DOUBLE)))"
+_START = "{'z': CAST(1 AS DOUBLE), 'ox': CAST(0 AS DOUBLE), 'oy': CAST(0 AS DOUBLE), 'kind': '', 'dx': CAST(0 AS DOUBLE), 'dy': CAST(0 AS DOUBLE), 'wheel': CAST(0 AS DOUBLE), 'x': CAST(0 AS DOUBLE), 'y': CAST(0 AS DOUBLE)}"
+_REST = "'kind': '', 'dx': e.dx, 'dy': e.dy, 'wheel': e.wheel, 'x': e.x, 'y': e.y"
+
+
+@_query(
+    "view_folds",
+    f"""WITH g AS ({_GESTURE}), logs AS (
+  SELECT session, list({{'z': CAST(0 AS DOUBLE), 'ox': CAST(0 AS DOUBLE), 'oy': CAST(0 AS DOUBLE), 'kind': kind, 'dx': dx, 'dy': dy, 'wheel': wheel, 'x': x, 'y': y}} ORDER BY seq) AS log FROM g GROUP BY session),
+ v AS (SELECT session, list_reduce(list_prepend({_START}, log), lambda a, e: CASE WHEN e.kind = 'pan'
+   THEN {{'z': a.z, 'ox': a.ox + e.dx / a.z, 'oy': a.oy + e.dy / a.z, {_REST}}}
+   ELSE {{'z': {_ZOOMED}, 'ox': a.ox + e.x / {_ZOOMED} - e.x / a.z, 'oy': a.oy + e.y / {_ZOOMED} - e.y / a.z, {_REST}}} END) AS v FROM logs)
+ SELECT session, round(v.z, 6) AS zoom, round(v.ox, 6) AS offset_x, round(v.oy, 6) AS offset_y FROM v""",
+)
+def view_folds(spark, d):
+    """The last view of each session of pans and wheel steps."""
+    v = geometry.view_after(_gestures(views.table(spark, d, "events")))
+    return v.select("session", *[F.round(c, 6).alias(c) for c in ("zoom", "offset_x", "offset_y")])
+
+
+#: Events stand for changes of notes: each user's ten notes are put under a kind and deleted at times.
+_CHANGES = """c AS (SELECT event_id AS seq, CAST(user_id AS VARCHAR) || '/' || CAST(event_id % 10 AS VARCHAR) AS id, event_id % 7 = 0 AS gone, 'T' || CAST(event_id * 3 % 40 AS VARCHAR) AS title, CASE WHEN event_id % 13 = 0 THEN NULL ELSE event_type END AS category FROM events),
+ ends AS (SELECT id, max(seq) AS last, max(seq) FILTER (gone) AS cut FROM c GROUP BY id),
+ held AS (SELECT c.id, arg_max(c.title, seq) AS title, arg_max_null(c.category, seq) AS category, min(seq) AS place FROM c JOIN ends ON ends.id = c.id WHERE cut IS NULL OR seq > cut GROUP BY c.id)"""
+
+
+def _live(spark, d):
+    k = F.col("event_id")
+    path = f"{d}/events.parquet"
+    events = spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path}*")  # a pattern, for the table may be one file
+    changes = events.select(
+        k.alias("seq"), F.concat_ws("/", F.col("user_id").cast("string"), (k % 10).cast("string")).alias("id"), (k % 7 == 0).alias("gone"), F.concat(F.lit("T"), (k * 3 % 40).cast("string")).alias("title"),
+        F.when(k % 13 != 0, F.col("event_type")).alias("category"),
+    )
+    folder = scratch(spark)
+    live.keep_views(changes, f"{folder}/deltas", f"{folder}/checkpoint").awaitTermination()
+    return live.read_deltas(spark, f"{folder}/deltas")
+
+
+@_query("live_counts", f"WITH {_CHANGES} SELECT category, count(*) AS note_count FROM held GROUP BY category")
+def live_counts(spark, d):
+    """Notes per category, kept up to date by a stream over the change log."""
+    return live.live_counts(_live(spark, d))
+
+
+@_query("live_titles", f"WITH {_CHANGES} SELECT title, arg_max(id, place) AS id FROM held GROUP BY title")
+def live_titles(spark, d):
+    """The latest note of each title, kept up to date by a stream over the change log."""
+    return live.live_titles(_live(spark, d))
+
+
+@_query("note_uuids", """WITH h AS (SELECT doc_id, sha1('["note","' || CAST(doc_id AS VARCHAR) || '"]') AS h FROM documents)
+ SELECT doc_id, h[1:8] || '-' || h[9:12] || '-5' || h[14:16] || '-' || substr('89ab', CAST('0x' || h[17] AS INTEGER) % 4 + 1, 1) || h[18:20] || '-' || h[21:32] AS id FROM h""")
+def note_uuids(spark, d):
+    """Ids that new notes of the documents would get."""
+    return views.table(spark, d, "documents").select("doc_id", ids.name_uuid(F.lit("note"), "doc_id").alias("id"))
+
+
 # --- interactive analogues --------------------------------------------------
 
 
