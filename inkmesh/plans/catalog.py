@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkmesh.functions import geometry, ids, jsonnotes, markdown, text
-from inkmesh.operators import browse, graph, ordinals, store
+from inkmesh.operators import browse, graph, layout, ordinals, store
 from inkmesh.plans import ingest
 from inkmesh.sources import snapshot, views
 from inkmesh.sources.scratch import scratch
@@ -518,6 +518,14 @@ def edge_arrows(spark, d):
     return a.select("source_note_id", "target_note_id", *[F.round(c, 6).alias(c) for c in ("ax", "ay", "bx", "by")])
 
 
+@_query("place_nodes")
+def place_nodes(spark, d):
+    """Places of the selection's notes (tests hold the drawing's rules)."""
+    n = views.nodes(spark, d)
+    nodes, links = graph.induced_subgraph(views.notes(spark, d), views.links(spark, d), CATEGORY)
+    return layout.place_nodes(nodes.select("id").join(n.select("id", "w", "h"), "id"), links)
+
+
 _POINT = (5.0, 5.0)
 
 
