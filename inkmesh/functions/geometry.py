@@ -36,6 +36,18 @@ def fit_view(nodes: DataFrame, width: float, height: float) -> DataFrame:
     )
 
 
+#: Decimal numbers as layout programs write them.
+NUMBER = r"\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*"
+
+
+def parse_place(text: Column) -> Column:
+    """Struct of x and y from ``x,y`` (what follows a second comma is ignored); NULL if either is no number."""
+    part = lambda i: F.get(F.split(text, ",", -1), F.lit(i))
+    number = lambda c: F.when(c.rlike(rf"\A{NUMBER}\z"), F.trim(c).try_cast("double"))
+    x, y = number(part(0)), number(part(1))
+    return F.when(x.isNotNull() & y.isNotNull(), F.struct(x.alias("x"), y.alias("y")))
+
+
 def to_map(x: Column, y: Column, zoom: Column, offset_x: Column, offset_y: Column) -> tuple[Column, Column]:
     """Screen to map coordinates."""
     return x / zoom - offset_x, y / zoom - offset_y

@@ -63,6 +63,11 @@ def is_blank(c: Column) -> Column:
     return strip(c) == ""
 
 
+def valid_category(name: Column) -> Column:
+    """Whether a category of this name may be made; NULL may not."""
+    return F.coalesce(~is_blank(name), F.lit(False))
+
+
 def has_category(category: Column) -> Column:
     """NULL and '' both mean uncategorised."""
     return category.isNotNull() & (category != "")

@@ -32,10 +32,22 @@ def category_exists(notes: DataFrame, name: str) -> bool:
 
 def chosen_category(notes: DataFrame, index: int | None, name: str | None) -> str:
     """The category at an index of the list (0 is the sentinel), else the named one if it exists, else the sentinel."""
-    names = [ALL_NOTES, *(r["category"] for r in categories(notes).collect())]  # as many rows as a list box shows
-    if index is not None and 0 <= index < len(names):
-        return names[index]
-    return name if name in names else ALL_NOTES
+    if index is not None and index > 0:
+        at = categories(notes).offset(index - 1).limit(1).collect()
+        if at:
+            return at[0]["category"]
+    if index == 0 or name is None or not has_name(name):
+        return ALL_NOTES
+    return name if category_exists(notes, name) else ALL_NOTES
+
+
+def has_name(name: str) -> bool:
+    return name not in ("", ALL_NOTES)
+
+
+def message_titles(notes: DataFrame, ids: DataFrame, default: str = "the selected note") -> DataFrame:
+    """(id, title) for each of ``ids``, as messages name notes: the default for one that does not exist."""
+    return ids.select("id").join(notes.select("id", F.col("title").alias("__title"), F.lit(True).alias("__known")), "id", "left").select("id", F.when(F.col("__known"), F.col("__title")).otherwise(default).alias("title"))
 
 
 def in_selection(notes: DataFrame, selected: str | None) -> DataFrame:

@@ -142,9 +142,49 @@ def open_by_title(spark, d):
     return latest.select("n.id", "title", "n.category", "n.content")
 
 
+@_query("id_by_title", "SELECT CAST(doc_id AS VARCHAR) AS id FROM documents WHERE doc_id % 50 = 7 ORDER BY doc_id LIMIT 1")
+def id_by_title(spark, d):
+    """The earliest note of a title that many notes have."""
+    return browse.id_by_title(views.notes(spark, d).withColumn("title", F.concat(F.lit("T"), (F.col("seq") % 50).cast("string"))), "T7")
+
+
+@_query(
+    "message_titles",
+    f"WITH {_NOTES}, asked AS (SELECT CAST(event_id * 3 AS VARCHAR) AS id FROM events) SELECT a.id, CASE WHEN n.id IS NULL THEN 'the selected note' ELSE n.title END AS title FROM asked a LEFT JOIN notes n ON n.id = a.id",
+)
+def message_titles(spark, d):
+    """Titles for messages about notes, many of which do not exist."""
+    return browse.message_titles(views.notes(spark, d), views.table(spark, d, "events").select((F.col("event_id") * 3).cast("string").alias("id")))
+
+
+@_query("valid_categories", f"SELECT doc_id, coalesce({_strip('raw')} <> '', false) AS valid FROM (SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN chr(9) || ' ' || chr(12288) ELSE ' ' || lang END AS raw FROM documents)")
+def valid_categories(spark, d):
+    i = F.col("doc_id")
+    name = F.when(i % 4 == 0, None).when(i % 4 == 1, "\t \u3000").otherwise(F.concat(F.lit(" "), "lang"))
+    return views.table(spark, d, "documents").select("doc_id", text.valid_category(name).alias("valid"))
+
+
+@_query("can_save", f"SELECT doc_id, {_strip('text')} <> '' AS can_save FROM documents")
+def can_save(spark, d):
+    return views.table(spark, d, "documents").select("doc_id", store.can_save(F.col("text")).alias("can_save"))
+
+
 # --- graph ------------------------------------------------------------------
 
 
+@_query("all_links", f"WITH {_LINKS} SELECT * FROM links")
+def all_links(spark, d):
+    return views.links(spark, d)
+
+
+@_query("strict_links", f"WITH {_LINKS} SELECT source_note_id, target_note_id FROM links UNION SELECT target_note_id, source_note_id FROM links")
+def strict_links(spark, d):
+    """All links in both directions and twice: parallel ones collapse, directions stay."""
+    e = views.links(spark, d)
+    turned = e.select(F.col("target_note_id").alias("source_note_id"), F.col("source_note_id").alias("target_note_id"))
+    return graph.strict(e.unionByName(turned).unionByName(e))
+
+
 @_query("neighbors_one", f"WITH {_LINKS} SELECT neighbor FROM ({_UNDIRECTED}) WHERE id = '{ONE}'")
 def neighbors_one(spark, d):
     return graph.neighbors_of(views.links(spark, d), ONE)
@@ -210,6 +250,43 @@ def link_insert_ignore(spark, d):
     return store.insert_valid_links(views.notes(spark, d), views.links(spark, d), _wanted_links(spark, d))
 
 
+@_query("dangling_links", f"{_BOTH}, {_WANTED} SELECT * FROM wanted WHERE source_note_id NOT IN (SELECT id FROM notes) OR target_note_id NOT IN (SELECT id FROM notes)")
+def dangling_links(spark, d):
+    """Links that make an all-or-nothing insert fail."""
+    return store.dangling(views.notes(spark, d), _wanted_links(spark, d))
+
+
+@_query("insert_links_all", f"{_BOTH} SELECT * FROM links UNION SELECT target_note_id, source_note_id FROM links WHERE CAST(source_note_id AS BIGINT) % 3 = 0")
+def insert_links_all(spark, d):
+    """An all-or-nothing insert that holds: some links turned round, all of whose ends exist."""
+    e = views.links(spark, d)
+    turned = e.where(F.col("source_note_id").cast("long") % 3 == 0).select(F.col("target_note_id").alias("source_note_id"), F.col("source_note_id").alias("target_note_id"))
+    return store.insert_links(views.notes(spark, d), e, turned)
+
+
+@_query(
+    "update_notes",
+    f"""WITH {_NOTES} SELECT id, CASE WHEN seq % 10 = 0 THEN 'Patched ' || id ELSE title END AS title, CASE WHEN seq % 10 = 0 THEN '' ELSE category END AS category, content IS NULL OR seq % 10 = 0 AS emptied FROM notes""",
+)
+def update_notes(spark, d):
+    """A patch without categories resets them; a NULL content counts as a value; unknown ids do nothing."""
+    n = views.notes(spark, d).withColumn("updated_at", F.lit("2024-01-01").cast("timestamp_ntz"))
+    patch = n.where(F.col("seq") % 10 == 0).select("id", F.concat(F.lit("Patched "), "id").alias("title"), F.lit(None).cast("string").alias("content"), F.col("updated_at").alias("ts"))
+    patch = patch.unionByName(patch.withColumn("id", F.concat(F.lit("no-"), "id")))
+    return store.update_notes(n, patch).select("id", "title", "category", F.col("content").isNull().alias("emptied"))
+
+
+@_query(
+    "save_by_id",
+    f"""WITH {_NOTES} SELECT CASE WHEN id = '{ONE}' THEN '# raw *title*' ELSE title END AS title, id, CASE WHEN id = '{ONE}' THEN 'k' ELSE category END AS category FROM notes""",
+)
+def save_by_id(spark, d):
+    """The upsert below the service: the first line as it stands becomes the title."""
+    day = F.lit("2024-01-01").cast("timestamp_ntz")
+    n = views.notes(spark, d).select("id", "title", "content", "category", day.alias("created_at"), day.alias("updated_at"), "seq")
+    return store.save_by_id(n, ONE, "# raw *title*\nbody", "k", day).select("id", "title", "category")
+
+
 @_query(
     "link_status",
     f"{_BOTH}, {_WANTED} SELECT source_note_id, target_note_id, (source_note_id, target_note_id) NOT IN (SELECT (source_note_id, target_note_id) FROM links) AND source_note_id IN (SELECT id FROM notes) AND target_note_id IN (SELECT id FROM notes) AS added FROM wanted",
@@ -518,6 +595,28 @@ def edge_arrows(spark, d):
     return a.select("source_note_id", "target_note_id", *[F.round(c, 6).alias(c) for c in ("ax", "ay", "bx", "by")])
 
 
+@_query(
+    "parse_places",
+    """SELECT event_id, CASE WHEN event_id % 4 < 2 THEN CAST(value AS DOUBLE) END AS x, CASE WHEN event_id % 4 < 2 THEN CAST(event_id AS DOUBLE) END AS y FROM events""",
+)
+def parse_places(spark, d):
+    """Places written as text, some with more parts, some broken."""
+    e, k = views.table(spark, d, "events"), F.col("event_id").cast("string")
+    v = F.col("value").cast("string")
+    raw = F.element_at(F.array(F.concat(v, F.lit(","), k), F.concat(F.lit(" "), v, F.lit(" ,"), k, F.lit(",9")), v, F.concat(v, F.lit(",n/a"))), (F.col("event_id") % 4 + 1).cast("int"))
+    return e.select("event_id", geometry.parse_place(raw).alias("p")).select("event_id", "p.x", "p.y")
+
+
+@_query("screen_points", f"{_VIEW} SELECT id, (x - 30) * 1.25 AS sx, (y + 12.5) * 1.25 AS sy, x AS mx, y AS my FROM nodes")
+def screen_points(spark, d):
+    """Nodes on the screen at a zoom and offset, and back on the map."""
+    zoom, ox, oy = F.lit(1.25), F.lit(-30.0), F.lit(12.5)
+    sx, sy = geometry.to_screen(F.col("x"), F.col("y"), zoom, ox, oy)
+    n = views.nodes(spark, d).withColumns({"sx": sx, "sy": sy})
+    mx, my = geometry.to_map(F.col("sx"), F.col("sy"), zoom, ox, oy)
+    return n.select("id", "sx", "sy", mx.alias("mx"), my.alias("my"))
+
+
 @_query("place_nodes")
 def place_nodes(spark, d):
     """Places of the selection's notes (tests hold the drawing's rules)."""

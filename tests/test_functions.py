@@ -105,3 +105,13 @@ def test_pan_and_zoom_fold(spark):
     x, y = G.to_screen(F.lit(3.0), F.lit(4.0), F.lit(2.0), F.lit(1.0), F.lit(1.0))
     back = G.to_map(x, y, F.lit(2.0), F.lit(1.0), F.lit(1.0))
     assert tuple(spark.range(1).select(*back).first()) == (3.0, 4.0)
+
+
+def test_places_are_read_from_text(spark):
+    texts = ["1,2", " 1.5 , -2e1,3", "1", "1,", "a,b", "1,2f", "nan,1", ".5,+6.", "", None]
+    got = column(spark, texts, G.parse_place)
+    assert [None if p is None else (p["x"], p["y"]) for p in got] == [(1.0, 2.0), (1.5, -20.0), None, None, None, None, None, (0.5, 6.0), None, None]
+
+
+def test_category_names(spark):
+    assert column(spark, ["a", " b ", "", " \t", "　", None], T.valid_category) == [True, True, False, False, False, False]

@@ -55,6 +55,9 @@ def test_self_link_and_null_category(spark):
     assert browse.id_by_title(n, "x").first()["id"] == "a" and browse.open_by_title(n, "x").first()["id"] == "b"
     assert browse.open_by_id(n, "a").count() == 0 and browse.open_by_id(n, "b").first()["category"] == ""
     assert browse.chosen_category(n, 1, None) == "k" and browse.chosen_category(n, None, "nope") == "All Notes" and browse.category_exists(n, "k")
+    assert [browse.chosen_category(n, i, name) for i, name in ((0, "k"), (2, "k"), (9, None), (None, ""))] == ["All Notes", "k", "All Notes", "All Notes"]
+    asked = spark.createDataFrame([("a",), ("zz",), ("a",)], "id string")
+    assert sorted(map(tuple, browse.message_titles(n, asked).collect())) == [("a", "x"), ("a", "x"), ("zz", "the selected note")]
     assert browse.search(n, "", None).count() == 3
 
 
