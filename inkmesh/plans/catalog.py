@@ -138,7 +138,7 @@ def open_by_title(spark, d):
     """The title map joined once: the latest note with the title of a given note."""
     n = views.notes(spark, d)
     asked = n.where(F.col("id") == ONE).select("title")
-    latest = n.join(F.broadcast(asked), "title", "left_semi").groupBy("title").agg(F.max_by(F.struct("id", "category", "content"), "seq").alias("n"))
+    latest = n.join(asked, "title", "left_semi").groupBy("title").agg(F.max_by(F.struct("id", "category", "content"), "seq").alias("n"))
     return latest.select("n.id", "title", "n.category", "n.content")
 
 
