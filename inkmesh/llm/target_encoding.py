@@ -13,11 +13,11 @@ chunks before it.  Carried totals are running sums over chunk totals, which are
 segmented in the same way, ``fan_out`` chunks at a time, on as many levels as
 it takes.
 
-How many chunks a key gets follows from its rows.  Keys of over a
-``1 / HOT_SHARE`` share of all rows (at most ``HOT_SHARE`` of them for a column,
-so their list has a bounded size) are counted; of the others that share is the
-bound.  Chunks have equal lengths and hold ``chunk_rows`` rows on average, if a
-key's rows lie evenly in time; rows of one instant are in one chunk.
+A key of more than ``chunk_rows`` rows gets as many chunks as that goes into
+its rows.  The list of such keys is counted: up to ``LISTED`` of them are sent
+to all tasks, more are joined by sort and merge.  Chunks have equal lengths and
+hold ``chunk_rows`` rows on average, if a key's rows lie evenly in time; rows of
+one instant are in one chunk.
 
 Defined cases: a null key is a key like any other; a null fold counts as fold
 0; rows without a time have no history and are in none; repeated rows each
@@ -35,8 +35,10 @@ from inkmesh.llm.common import materialize, shared_dir
 FOLDS = 5
 #: Rows of a key that a chunk holds on average, and chunks that one window runs over.
 CHUNK_ROWS, FAN_OUT = 1 << 13, 1 << 10
-#: Keys of a column with more than this part of its rows are counted, one by one.
-HOT_SHARE = 1000
+#: Keys with several chunks whose list is sent to all tasks (some 60 bytes each).
+LISTED = 1 << 14
+#: Rows that a sorted partition holds on average, so that it fits into a task's memory.
+PARTITION_ROWS = 1 << 20
 #: The contract's smoothing weight, rates in millionths, and the rate of an empty history.
 WEIGHT, UNIT, EMPTY_RATE = 50, 1_000_000, 500_000
 
@@ -91,7 +93,7 @@ def histories(
     fan_out: int = FAN_OUT,
     folder: str | None = None,
 ) -> DataFrame:
-    """(ids, column, n, s) for each row with a time and each column: the history's ``count`` and ``hits`` of the row's key.
+    """(ids, column, n, s) for each row with a time and each column (by its place in ``columns``): the history's ``count`` and ``hits`` of the row's key.
 
     ``rows`` is read several times, so it should be a written table; ``time``
     is in microseconds, ``fold`` from 0 to ``folds`` - 1, and ``ids`` name a row.
@@ -103,19 +105,19 @@ def histories(
     keyed = lambda *wanted: base.select(*wanted, F.explode(_keys(base, columns)).alias("__k")).select(*[c for c in wanted], "__k.*")
     all_rows, first, last = base.agg(F.count("*"), F.coalesce(F.min("__time"), F.lit(0)), F.coalesce(F.max("__time"), F.lit(0))).first()
     span = last + gap - first + 1
-    # at most HOT_SHARE - 1 rows for a column
-    hot = keyed().groupBy(*_KEY).agg(F.count("*").alias("__rows")).where(F.col("__rows") * HOT_SHARE > all_rows)
-    hot = materialize(hot, folder, "hot")
-    most = lambda n: max(1, -(-n // chunk_rows))
-    cold_chunks, chunks = most(all_rows // HOT_SHARE), most(all_rows)
-    length = F.ceil(F.lit(span) / F.greatest(F.lit(1), F.ceil(F.coalesce(F.col("__rows"), F.lit(all_rows // HOT_SHARE)) / F.lit(chunk_rows))))
+    large = keyed().groupBy(*_KEY).agg(F.count("*").alias("__rows")).where(F.col("__rows") > chunk_rows)
+    large = materialize(large.withColumn("__length", F.ceil(F.lit(span) / F.ceil(F.col("__rows") / F.lit(chunk_rows)))), folder, "large")
+    listed, most = large.agg(F.count("*"), F.coalesce(F.max("__rows"), F.lit(0))).first()
+    chunks = -(-most // chunk_rows)
+    sized = large.select(*[F.col(c).alias(f"h{c}") for c in _KEY], "__length")
+    sized = F.broadcast(sized) if listed <= LISTED else sized.hint("merge")
 
     def chunked(long: DataFrame) -> DataFrame:
-        """Adds the chunk; ``long`` has a key and a time."""
+        """Adds the chunk, and the length of the key's chunks (null for a key of one); ``long`` has a key and a time."""
         same = [F.col(c).eqNullSafe(F.col(f"h{c}")) for c in _KEY]
-        sized = hot.select(*[F.col(c).alias(f"h{c}") for c in _KEY], "__rows")
-        joined = long.join(F.broadcast(sized), same[0] & same[1] & same[2], "left")
-        return joined.withColumn("__chunk", F.floor((F.col("__time") - F.lit(first)) / length).cast("long")).drop(*[f"h{c}" for c in _KEY])
+        joined = long.join(sized, same[0] & same[1] & same[2], "left")
+        chunk = F.coalesce(F.floor((F.col("__time") - F.lit(first)) / F.col("__length")), F.lit(0)).cast("long")
+        return joined.withColumn("__chunk", chunk).drop(*[f"h{c}" for c in _KEY])
 
     names = _sums(folds)
     in_fold = lambda f, c: F.coalesce(F.when(F.col("__fold") == f, F.col(c)), F.lit(0))
@@ -123,8 +125,7 @@ def histories(
     past = keyed("__time", "__fold", "__n", "__s").withColumn("__time", F.col("__time") + gap)
     if gap:  # chunks in which a key has probes only
         past = past.unionByName(keyed("__time", "__fold").withColumns({"__n": F.lit(0).cast("long"), "__s": F.lit(0).cast("long")}))
-    parted = chunked(past) if cold_chunks > 1 else chunked(past).where("__rows is not null")
-    totals = parted.groupBy(*_KEY, "__chunk").agg(*[F.sum(e).alias(c) for c, e in parts.items()])
+    totals = chunked(past).where("__length is not null").groupBy(*_KEY, "__chunk").agg(*[F.sum(e).alias(c) for c, e in parts.items()])
     totals = materialize(totals, folder, "totals")
     heads = materialize(_carried(totals, chunks, fan_out, names), folder, "carried")
     by_fold = F.array(*[F.struct(F.lit(f).alias("__fold"), F.col(f"__n{f}").alias("__n"), F.col(f"__s{f}").alias("__s")) for f in range(folds)])
@@ -136,18 +137,20 @@ def histories(
     union = kinds.select(
         *[F.when(~is_past, F.col(c)).alias(c) for c in ids], *_KEY, (F.col("__time") + F.when(is_past, F.lit(gap)).otherwise(0)).alias("__time"), "__kind", "__fold", *[F.when(is_past, F.col(c)).alias(c) for c in ("__n", "__s")]
     )
-    union = chunked(union).drop("__rows").unionByName(heads)
+    union = chunked(union).drop("__length").unionByName(heads)
+    partitions = 2 * len(columns) * all_rows // PARTITION_ROWS
+    if partitions > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        union = union.repartition(partitions, *_KEY, "__chunk")
     # a head has no time, and nulls come first
     running = Window.partitionBy(*_KEY, "__chunk").orderBy("__time", "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     of_fold = union.select(*ids, "__column", "__kind", "__fold", *[F.sum(F.when(F.col("__fold") == f, F.col(f"__{part}"))).over(running).alias(f"__{part}{f}") for f in range(folds) for part in "ns"])
     others = lambda part: sum((F.when(F.col("__fold") != f, F.coalesce(F.col(f"__{part}{f}"), F.lit(0))).otherwise(0) for f in range(folds)), F.lit(0).cast("long"))
-    return of_fold.where(F.col("__kind") == _PROBE).select(*ids, F.element_at(F.array(*map(F.lit, columns)), F.col("__column") + 1).alias("column"), others("n").alias("n"), others("s").alias("s"))
+    return of_fold.where(F.col("__kind") == _PROBE).select(*ids, F.col("__column").alias("column"), others("n").alias("n"), others("s").alias("s"))
 
 
 def gathered(found: DataFrame, ids: list[str], columns: list[str]) -> DataFrame:
     """One row for the ids with ``<column>_n`` and ``<column>_s`` (0 without a history row)."""
-    of = lambda c, part: F.coalesce(F.max(F.when(F.col("column") == c, F.col(part))), F.lit(0)).alias(f"{c}_{part}")
-    return found.groupBy(*ids).agg(*[of(c, part) for c in columns for part in "ns"])
+    return found.groupBy(*ids).agg(*[F.coalesce(F.max(F.when(F.col("column") == i, F.col(part))), F.lit(0)).alias(f"{c}_{part}") for i, c in enumerate(columns) for part in "ns"])
 
 
 def rate(n: Column, s: Column, prior: Column, weight: int = WEIGHT) -> Column:
@@ -183,27 +186,26 @@ def sale_encodings(sale_lines: DataFrame, sales: DataFrame, items: DataFrame, ve
     # the least (at, client) in two plain sums' worth of state: min and min_by
     once = timed.groupBy("sale_id").agg(F.min("at").alias("at"), F.min_by("client_id", F.struct("at", "client_id")).alias("client_id"))
     once = once.withColumn("fold", F.pmod(F.crc32(F.col("sale_id").cast("string")), F.lit(FOLDS)).cast("int"))
-    merged = lambda df: df.hint("merge")
-    sold = once.join(merged(counted(["sale_id"])), "sale_id")
-    sold = sold.join(merged(_attribute(clients, "client_id", "segment", "segment")), "client_id", "left").withColumn("all", F.lit(0))
+    merged = lambda df, name: materialize(df, folder, name).hint("merge")  # noqa: E731  written, so that what is joined comes from a plain shuffle, which Spark can split
+    sold = once.join(counted(["sale_id"]).hint("merge"), "sale_id")
+    sold = sold.join(merged(_attribute(clients, "client_id", "segment", "segment"), "segments"), "client_id", "left").withColumn("all", F.lit(0))
     sold = materialize(sold.select("sale_id", "at", "client_id", "fold", "n_lines", "n_returned", "segment", "all"), folder, "sales")
     arguments = dict(time="at", fold="fold", count="n_lines", hits="n_returned", gap=gap, **sizes)
     of_sale = histories(sold, ["sale_id"], ["client_id", "segment", "all"], folder=f"{folder}/of_sales", **arguments)
     known = gathered(of_sale, ["sale_id"], ["client_id", "segment", "all"])
     known = known.withColumn("all_rate", rate(F.col("all_n"), F.col("all_s"), F.lit(EMPTY_RATE)))
     known = known.withColumn("client_rate", rate(F.col("client_id_n"), F.col("client_id_s"), rate(F.col("segment_n"), F.col("segment_s"), F.col("all_rate"))))
-    known = sold.select("sale_id", "at", "fold").join(merged(known.select("sale_id", F.col("client_id_n").alias("client_n"), "client_rate", "all_rate")), "sale_id")
-    base = counted(line).join(merged(known), "sale_id")
-    base = base.join(merged(_attribute(items, "item_id", "kind", "kind")), "item_id", "left").join(merged(_attribute(vendors, "vendor_id", "nation_id", "nation_id")), "vendor_id", "left")
+    known = sold.select("sale_id", "at", "fold").join(known.select("sale_id", F.col("client_id_n").alias("client_n"), "client_rate", "all_rate").hint("merge"), "sale_id")
+    base = counted(line).join(merged(known, "known"), "sale_id")
+    base = base.join(merged(_attribute(items, "item_id", "kind", "kind"), "kinds"), "item_id", "left").join(merged(_attribute(vendors, "vendor_id", "nation_id", "nation_id"), "nations"), "vendor_id", "left")
     base = materialize(base.select(*line, "at", "fold", "n_lines", "n_returned", "client_n", "client_rate", "all_rate", "kind", "nation_id"), folder, "lines")
     columns = ["item_id", "vendor_id", "kind", "nation_id"]
     keyed = base.withColumns({"sale": F.col("sale_id"), "item": F.col("item_id"), "vendor": F.col("vendor_id")})
     found = histories(keyed, ["sale", "item", "vendor"], columns, folder=f"{folder}/of_lines", **arguments).withColumnsRenamed({"sale": "sale_id", "item": "item_id", "vendor": "vendor_id"})
     own = ["n_lines", "n_returned", "client_n", "client_rate", "all_rate"]
     nothing = lambda *names: {c: F.lit(None).cast("long") for c in names}
-    both = found.withColumns(nothing(*own)).unionByName(base.select(*line, *own).withColumns(nothing("n", "s") | {"column": F.lit(None).cast("string")}))
-    of = lambda c, part: F.max(F.when(F.col("column") == c, F.col(part))).alias(f"{c}_{part}")
-    wide = both.groupBy(*line).agg(*[F.max(c).alias(c) for c in own], *[of(c, part) for c in columns for part in "ns"])
+    both = found.withColumns(nothing(*own)).unionByName(base.select(*line, *own).withColumns(nothing("n", "s") | {"column": F.lit(None).cast("int")}))
+    wide = both.groupBy(*line).agg(*[F.max(c).alias(c) for c in own], *[F.max(F.when(F.col("column") == i, F.col(part))).alias(f"{c}_{part}") for i, c in enumerate(columns) for part in "ns"])
     prior = lambda c: rate(F.col(f"{c}_n"), F.col(f"{c}_s"), F.col("all_rate"))
     return wide.select(
         *line, "n_lines", "n_returned",

@@ -43,12 +43,13 @@ SCHEMA = "row long, at long, fold int, n long, s long, item long, word string, a
 @pytest.mark.parametrize("gap", [0, 7])
 @pytest.mark.parametrize(("chunk_rows", "fan_out"), [(te.CHUNK_ROWS, te.FAN_OUT), (4, 2), (9, 3)])
 def test_histories_equal_a_loop(spark, tmp_path, gap, chunk_rows, fan_out, monkeypatch):
-    monkeypatch.setattr(te, "HOT_SHARE", 5)  # so that rare keys, too, get chunks
+    monkeypatch.setattr(te, "LISTED", 2 if gap else 100)  # a list that is joined, and one that is sent
+    monkeypatch.setattr(te, "PARTITION_ROWS", 50)
     rows = made(gap + chunk_rows, 160)
     df = spark.createDataFrame([tuple(r.values()) for r in rows], SCHEMA)
     found = te.histories(df, IDS, ["item", "word", "all"], "at", "fold", "n", "s", gap=gap, chunk_rows=chunk_rows, fan_out=fan_out, folder=str(tmp_path)).collect()
     assert len(found) == 3 * sum(r["at"] is not None for r in rows)
-    assert {(r["row"], r["column"]): (r["n"], r["s"]) for r in found} == brute(rows, ["item", "word", "all"], gap)
+    assert {(r["row"], ["item", "word", "all"][r["column"]]): (r["n"], r["s"]) for r in found} == brute(rows, ["item", "word", "all"], gap)
 
 
 def test_an_instant_is_not_its_own_history(spark, tmp_path):
