@@ -137,12 +137,13 @@ def histories(
     union = kinds.select(
         *[F.when(~is_past, F.col(c)).alias(c) for c in ids], *_KEY, (F.col("__time") + F.when(is_past, F.lit(gap)).otherwise(0)).alias("__time"), "__kind", "__fold", *[F.when(is_past, F.col(c)).alias(c) for c in ("__n", "__s")]
     )
-    union = chunked(union).drop("__length").unionByName(heads)
+    # rows are sorted by a hash first: it is compared without a look at the row, which column numbers and null words would not spare
+    union = chunked(union).drop("__length").unionByName(heads).withColumn("__mix", F.xxhash64(*_KEY, "__chunk"))
     partitions = 2 * len(columns) * all_rows // PARTITION_ROWS
     if partitions > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")):
-        union = union.repartition(partitions, *_KEY, "__chunk")
+        union = union.repartition(partitions, "__mix")
     # a head has no time, and nulls come first
-    running = Window.partitionBy(*_KEY, "__chunk").orderBy("__time", "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = Window.partitionBy("__mix", *_KEY, "__chunk").orderBy("__time", "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     of_fold = union.select(*ids, "__column", "__kind", "__fold", *[F.sum(F.when(F.col("__fold") == f, F.col(f"__{part}"))).over(running).alias(f"__{part}{f}") for f in range(folds) for part in "ns"])
     others = lambda part: sum((F.when(F.col("__fold") != f, F.coalesce(F.col(f"__{part}{f}"), F.lit(0))).otherwise(0) for f in range(folds)), F.lit(0).cast("long"))
     return of_fold.where(F.col("__kind") == _PROBE).select(*ids, F.col("__column").alias("column"), others("n").alias("n"), others("s").alias("s"))
