@@ -45,6 +45,8 @@ _UNDIRECTED = "SELECT source_note_id AS id, target_note_id AS neighbor FROM link
 #: Notes that single-note queries ask for, and other fixed arguments.
 ONE, CATEGORY, QUERY, UNLINK = "4", "en", "th", ("1", "10")
 OPENED = (ONE, "5", "9", "14", "15")
+#: The selection that is drawn; a drawing takes rounds in the length of the longest chain of links.
+DRAWN = "es"
 _WANTED = "wanted AS (SELECT CAST(doc_id AS VARCHAR) AS source_note_id, CAST((7 * doc_id + 3 + doc_id % 2) % (n + 100) AS VARCHAR) AS target_note_id FROM documents, (SELECT count(*) AS n FROM documents))"
 _TITLE_EXPR = "CASE WHEN title = '' THEN 'Untitled Note' ELSE title END"
 
@@ -619,9 +621,9 @@ def screen_points(spark, d):
 
 @_query("place_nodes")
 def place_nodes(spark, d):
-    """Places of the selection's notes (tests hold the drawing's rules)."""
+    """Places of all notes of a selection (tests hold the drawing's rules)."""
     n = views.nodes(spark, d)
-    nodes, links = graph.induced_subgraph(views.notes(spark, d), views.links(spark, d), CATEGORY)
+    nodes, links = graph.induced_subgraph(views.notes(spark, d), views.links(spark, d), DRAWN)
     return layout.place_nodes(nodes.select("id").join(n.select("id", "w", "h"), "id"), links)
 
 
