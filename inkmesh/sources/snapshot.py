@@ -152,7 +152,8 @@ class Store:
         """Writes rows in buckets to a new folder: its name, the buckets, and how many rows."""
         path = f"{name}-{uuid.uuid4().hex}"
         at = rows.withColumn("bucket", _bucket(name))
-        at.write.partitionBy("bucket").parquet(f"{self.root}/data/{path}")
+        # a bucket of small changes is one file, a large one is split
+        at.hint("rebalance", "bucket").write.partitionBy("bucket").parquet(f"{self.root}/data/{path}")
         # read from the footers, not from the plan
         counts = self.spark.read.schema(at.schema).parquet(f"{self.root}/data/{path}").groupBy("bucket").count().collect()  # a row for a bucket
         return path, sorted(r["bucket"] for r in counts), sum(r["count"] for r in counts)
