@@ -34,6 +34,7 @@ from __future__ import annotations
 import functools
 from collections import Counter
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -46,7 +47,7 @@ MIN_DOCS = 30
 SMOOTHING, UNIT = 5, 1_000_000_000
 TOP_TERMS = 50
 #: Terms that a task counts before it hands its counts on.
-FLUSH_TERMS = 1 << 18
+FLUSH_TERMS = 1 << 19
 #: Bytes of terms in the automata of one pass (some forty times that in each Python worker).
 BLOCK_BYTES = 4 << 20
 #: Terms and sources of a cell of the pair sums; together they make arrays of 8 MB.
@@ -125,7 +126,7 @@ def occurrences(rows: DataFrame, terms: dict[str, list[str]]) -> DataFrame:
             for (lang, source), found in counts.items():
                 n = len(found)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * n, pa.string()), pa.array([source] * n, pa.string()), pa.array([known[lang][i] for i in found], pa.string()), pa.array(list(found.values()), pa.int64())], names=["lang", "source", "term", "n"]
+                    [pa.array([lang] * n, pa.string()), pa.array([source] * n, pa.string()), pa.array(list(found), pa.int32()), pa.array(list(found.values()), pa.int64())], names=["lang", "source", "at", "n"]
                 )
             counts.clear()
 
@@ -133,15 +134,17 @@ def occurrences(rows: DataFrame, terms: dict[str, list[str]]) -> DataFrame:
             for lang, source, text in _rows(batch):
                 found = counts.setdefault((lang, source), Counter())
                 before = len(found)
-                found.update(i for _, i in automata[lang].iter(delimited(text).decode()))
+                found.update(map(itemgetter(1), automata[lang].iter(delimited(text).decode())))
                 held += len(found) - before + (before == 0)
                 if held > FLUSH_TERMS:
                     yield from flush()
                     held = 0
         yield from flush()
 
-    found = rows.where(F.col("lang").isin(list(terms))).mapInArrow(search, "lang string, source string, term string, n long")
-    return found.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"))
+    found = rows.where(F.col("lang").isin(list(terms))).mapInArrow(search, "lang string, source string, at int, n long")
+    counts = found.groupBy("lang", "source", "at").agg(F.sum("n").alias("n"))
+    names = rows.sparkSession.createDataFrame(pa.table({"lang": [lang for lang, own in terms.items() for _ in own], "at": pa.array([i for own in terms.values() for i in range(len(own))], pa.int32()), "term": [t for own in terms.values() for t in own]}))
+    return counts.join(F.broadcast(names), ["lang", "at"]).select("lang", "source", "term", "n")  # the names are those of one pass
 
 
 def _passes(sizes: dict[str, int], most: int) -> list[list[tuple[str, int, int]]]:
