@@ -1,4 +1,8 @@
-"""Intermediate tables in the folder that all executors share (``spark.checkpoint.dir``)."""
+"""Intermediate tables in the folder that all executors share (``spark.checkpoint.dir``).
+
+Results read them when they are used, so an operator cannot delete its own;
+whoever has used the result may.  Operators take a ``folder`` for that.
+"""
 
 from __future__ import annotations
 
