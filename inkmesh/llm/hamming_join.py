@@ -19,11 +19,11 @@ Texts of a key are treated by their number:
   never spelled out as pairs.  It is dealt into blocks of about ``BLOCK`` texts
   of like size, and the signatures of each two blocks whose sizes allow the
   threshold are compared in place.  That gives each text a list of those within
-  the radius, nearest first, which is confirmed in waves: first a few of its
-  own block, then of all blocks a few, then the rest, where a wave leaves out
-  what earlier links have joined already.  What is confirmed grows with the
-  texts of a group and with the near misses between classes, not with its
-  pairs.  No partner within the radius is left out unless it is joined already.
+  the radius, nearest first, which is confirmed in two waves: first a few of its
+  own block, then all of all blocks that the links found so far have not joined
+  with it.  What is confirmed grows with the texts of a group and with the near
+  misses between classes, not with its pairs.  No partner within the radius is
+  left out unless it is joined already.
 
 Links are confirmed on full sets, in whole numbers, and texts are joined to
 components.  Texts of one set are collapsed to one before all this.
@@ -50,7 +50,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkmesh.llm.common import attach, materialize, shared_dir, small_batches
-from inkmesh.llm.lsh_forest import Shingler, components, set_key, signatures, sized_broadcast
+from inkmesh.llm.lsh_forest import Shingler, set_key, signatures, sized_broadcast
+from inkmesh.operators.components import connected
 
 SHINGLE = 2
 #: Links have ``PERCENT`` times the union's size in a hundred times the intersection's.
@@ -59,10 +60,8 @@ CHUNKS, CHUNK, ERRORS = 20, 5, 1
 #: Bytes of a place of a signature.
 PLACE_BYTES = 2
 SMALL, BLOCK = 24, 256
-#: Positions of a text's list in one cell that are confirmed by each wave after the first, which takes the first of its own block.
-FIRST, WAVES = 4, ((0, 8), (8, None))
-#: Bytes of sets that are compared at once in one task.
-COMPARED_BYTES = 1 << 23
+#: Of a text's list in its own block, so many are confirmed in the first wave.
+FIRST = 4
 
 
 class AsciiShingler(Shingler):
@@ -207,8 +206,8 @@ def cells(groups: DataFrame, percent: int, block: int, folder: str) -> DataFrame
     return found[0].unionByName(found[1]).unionByName(found[2])
 
 
-def near_lists(placed: DataFrame, places: int, radius: int, percent: int, low: int, high: int | None) -> DataFrame:
-    """(a, b): positions ``low`` to ``high`` of the list of each first text of a cell, of those within the radius that may be linked and are not in its component.
+def near_lists(placed: DataFrame, places: int, radius: int, percent: int, most: int | None) -> DataFrame:
+    """(a, b): for each first text of a cell the nearest ``most`` (null: all) of those within the radius that may be linked, without those of its component.
 
     ``placed`` has rep, size, root (its component so far), signature, first and cell.
     """
@@ -230,7 +229,7 @@ def near_lists(placed: DataFrame, places: int, radius: int, percent: int, low: i
                 if whole:
                     ok &= right > i
                 at = np.flatnonzero(ok)
-                at = at[np.argsort(far[at], kind="stable")][low:high]
+                at = at[np.argsort(far[at], kind="stable")][:most]
                 at = at[root[right[at]] != root[i]]
                 a.append(np.full(len(at), rep[i]))
                 b.append(rep[right[at]])
@@ -316,26 +315,29 @@ def hamming_join(
     lone, first_of_many = marked.where("not copied").select(*stands), marked.where(F.col("copied") & F.col("id").eqNullSafe(F.col("i"))).select(*stands)
     wide = materialize(lone.unionByName(first_of_many.dropDuplicates(["rep"])), folder, "wide")  # one row for a set
     pairs, ties = met(wide, chunks, chunk, errors, small, folder)
-    groups = materialize(components(ties, f"{folder}/groups"), folder, "grouped")
+    groups = connected(ties, f"{folder}/groups").withColumnsRenamed({"node": "rep", "component": "root"})
+    groups = materialize(groups, folder, "grouped")
     of = lambda p: sized_broadcast(wide.select(F.col("rep").alias(p), F.col("size").alias(f"{p}_size")))
     sets = _Sets(source, wide, width, folder)
     likely = pairs.join(of("a"), "a").join(of("b"), "b").where(may_link(F.col("a_size"), F.col("b_size"), percent)).select("a", "b")
-    likely = materialize(_within(likely, wide, radius, places), folder, "likely")
+    likely = _within(likely, wide, radius, places)
+    grouped = bool(groups.limit(1).count())
+    if grouped:
+        own = materialize(groups.withColumnRenamed("root", "group").join(wide.select("rep", "size", "signature"), "rep"), folder, "group_signatures")
+        placed = materialize(cells(own.select("rep", "size", F.col("group").alias("root")), percent, block, folder), folder, "cells")
+        signs = own.select("rep", "signature", F.col("rep").alias("root"))
+        likely = likely.unionByName(near_lists(placed.where("inner").join(signs, "rep"), places, radius, percent, FIRST)).distinct()
+    likely = materialize(likely, folder, "likely")
     links = materialize(confirmed(likely, sets.of(likely), percent), folder, "links")
-    placed = None
-    for wave, (low, high) in enumerate([(0, FIRST), *WAVES]) if groups.limit(1).count() else ():
-        if placed is None:
-            own = groups.withColumnRenamed("root", "group").join(wide.select("rep", "size", "signature"), "rep")
-            signs = materialize(own.select("rep", "signature"), folder, "group_signatures")
-            placed = materialize(cells(own.select("rep", "size", F.col("group").alias("root")), percent, block, folder), folder, "cells")
-        roots = components(links, f"{folder}/wave{wave}").withColumnRenamed("root", "r")
-        now = materialize(signs.join(sized_broadcast(roots), "rep", "left").select("rep", "signature", F.coalesce("r", "rep").alias("root")), folder, f"roots{wave}")
-        rows = placed.where("inner") if wave == 0 else placed
-        found = near_lists(rows.join(now, "rep"), places, radius, percent, low, high).distinct()
-        found = materialize(found, folder, f"near{wave}")
-        more = materialize(confirmed(found, sets.of(found), percent), folder, f"links{wave}")
+    roots = connected(links, f"{folder}/roots").withColumnsRenamed({"node": "rep", "component": "root"})
+    if grouped:
+        roots = materialize(roots, folder, "roots_so_far")
+        now = own.select("rep", "signature").join(sized_broadcast(roots), "rep", "left").select("rep", "signature", F.coalesce("root", "rep").alias("root"))
+        apart = materialize(near_lists(placed.join(materialize(now, folder, "signed"), "rep"), places, radius, percent, None).distinct(), folder, "apart")
+        more = materialize(confirmed(apart, sets.of(apart), percent), folder, "more_links")
+        joined = roots.select(F.col("rep").alias("a"), F.col("root").alias("b")).unionByName(more)
         links = links.unionByName(more)
-    roots = components(links, f"{folder}/roots")
+        roots = connected(joined, f"{folder}/all_roots").withColumnsRenamed({"node": "rep", "component": "root"})
     named = roots.join(reps.select("rep", "id"), "rep")
     least = named.groupBy("root").agg(F.min("id").alias("component_id"))
     joined = named.join(least, "root").select("rep", "component_id")
