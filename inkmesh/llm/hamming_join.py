@@ -19,8 +19,8 @@ Texts of a key are treated by their number:
   never spelled out as pairs.  It is dealt into blocks of about ``BLOCK`` texts
   of like size, and the signatures of each two blocks whose sizes allow the
   threshold are compared in place.  That gives each text a list of those within
-  the radius, nearest first, which is confirmed in two waves: first a few of its
-  own block, then all of all blocks that the links found so far have not joined
+  the radius, nearest first, which is confirmed in two waves: first the nearest
+  ``NEAREST`` of each block, then all that the links found so far have not joined
   with it.  What is confirmed grows with the texts of a group and with the near
   misses between classes, not with its pairs.  No partner within the radius is
   left out unless it is joined already.
@@ -59,9 +59,9 @@ PERCENT = 80
 CHUNKS, CHUNK, ERRORS = 20, 5, 1
 #: Bytes of a place of a signature.
 PLACE_BYTES = 2
-SMALL, BLOCK = 24, 256
-#: Of a text's list in its own block, so many are confirmed in the first wave.
-FIRST = 4
+SMALL, BLOCK = 24, 1024
+#: Of a text's list in a pair of blocks, so many are confirmed in the first wave.
+NEAREST = 2
 
 
 class AsciiShingler(Shingler):
@@ -202,16 +202,26 @@ def cells(groups: DataFrame, percent: int, block: int, folder: str) -> DataFrame
         theirs = blocks.select("root", (F.col("kind") - d).alias("kind"), F.col("blocks").alias("theirs"))
         each = dealt.join(sized_broadcast(theirs), ["root", "kind"]).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("theirs") - 1)))
         own, other = F.struct("kind", "block"), F.struct((F.col("kind") + d).alias("kind"), F.col("other").alias("block"))
-        found.append(each.select("rep", "size", (own <= other).alias("first"), (own == other).alias("inner"), F.xxhash64("root", F.least(own, other), F.greatest(own, other)).alias("cell")))
+        found.append(each.select("rep", "size", (own <= other).alias("first"), F.xxhash64("root", F.least(own, other), F.greatest(own, other)).alias("cell")))
     return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 def near_lists(placed: DataFrame, places: int, radius: int, percent: int, most: int | None) -> DataFrame:
-    """(a, b): for each first text of a cell the nearest ``most`` (null: all) of those within the radius that may be linked, without those of its component.
+    """(a, b): for each text of a cell the nearest ``most`` (null: all) of those within the radius that may be linked, without those of its component.
 
     ``placed`` has rep, size, root (its component so far), signature, first and cell.
     """
 
+    def nearest(far: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, column) of the nearest ``most`` of each row."""
+        i, j = [], []
+        for row in np.flatnonzero(ok.any(axis=1)).tolist():
+            at = np.flatnonzero(ok[row])
+            at = at[np.argsort(far[row, at], kind="stable")][:most]
+            i.append(np.full(len(at), row))
+            j.append(at)
+        return tuple(np.concatenate(x) if x else np.zeros(0, np.int64) for x in (i, j))
+
     def run(table: pa.Table) -> pa.Table:
         rep, size, root, first = (table[c].to_numpy(zero_copy_only=False) for c in ("rep", "size", "root", "first"))
         sign = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint16).reshape(len(rep), places)
@@ -220,21 +230,19 @@ def near_lists(placed: DataFrame, places: int, radius: int, percent: int, most:
         whole = bool(first.all())
         left = np.flatnonzero(first)
         right = left if whole else np.flatnonzero(~first)
-        a, b = [], []
-        if len(left) and len(right):
-            theirs = sign[right]
-            for i in left.tolist():
-                far = (theirs != sign[i]).sum(axis=1)
-                ok = (far <= radius) & (100 * np.minimum(size[i], size[right]) >= percent * np.maximum(size[i], size[right]))
-                if whole:
-                    ok &= right > i
-                at = np.flatnonzero(ok)
-                at = at[np.argsort(far[at], kind="stable")][:most]
-                at = at[root[right[at]] != root[i]]
-                a.append(np.full(len(at), rep[i]))
-                b.append(rep[right[at]])
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+        far, theirs = np.empty((len(left), len(right)), np.uint16), sign[right]
+        for n, i in enumerate(left.tolist()):
+            far[n] = (theirs != sign[i]).sum(axis=1)
+        ok = (far <= radius) & (100 * np.minimum.outer(size[left], size[right]) >= percent * np.maximum.outer(size[left], size[right])) & (root[left][:, None] != root[right])
+        if most is None:
+            i, j = np.nonzero(np.triu(ok) if whole else ok)
+        else:
+            i, j = nearest(far, ok)
+            if not whole:  # else a row is a column, too
+                more_j, more_i = nearest(far.T, ok.T)
+                i, j = np.concatenate([i, more_i]), np.concatenate([j, more_j])
+        x, y = rep[left[i]], rep[right[j]]
+        return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
 
     return placed.groupBy("cell").applyInArrow(run, "a long, b long")
 
@@ -326,7 +334,7 @@ def hamming_join(
         own = materialize(groups.withColumnRenamed("root", "group").join(wide.select("rep", "size", "signature"), "rep"), folder, "group_signatures")
         placed = materialize(cells(own.select("rep", "size", F.col("group").alias("root")), percent, block, folder), folder, "cells")
         signs = own.select("rep", "signature", F.col("rep").alias("root"))
-        likely = likely.unionByName(near_lists(placed.where("inner").join(signs, "rep"), places, radius, percent, FIRST)).distinct()
+        likely = likely.unionByName(near_lists(placed.join(signs, "rep"), places, radius, percent, NEAREST)).distinct()
     likely = materialize(likely, folder, "likely")
     links = materialize(confirmed(likely, sets.of(likely), percent), folder, "links")
     roots = connected(links, f"{folder}/roots").withColumnsRenamed({"node": "rep", "component": "root"})
