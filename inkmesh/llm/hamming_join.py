@@ -20,8 +20,8 @@ Texts of a key are treated by their number:
   of like size, and the signatures of each two blocks whose sizes allow the
   threshold are compared in place.  That gives each text a list of those within
   the radius, nearest first, which is confirmed in two waves: first the nearest
-  ``NEAREST`` of each block, then all that the links found so far have not joined
-  with it.  What is confirmed grows with the texts of a group and with the near
+  ``NEAREST`` of each block, then, on the sets themselves and in place, all that the
+  links found so far have not joined with it.  What is confirmed grows with the texts of a group and with the near
   misses between classes, not with its pairs.  No partner within the radius is
   left out unless it is joined already.
 
@@ -60,6 +60,8 @@ CHUNKS, CHUNK, ERRORS = 20, 5, 1
 #: Bytes of a place of a signature.
 PLACE_BYTES = 2
 SMALL, BLOCK = 24, 1024
+#: Shingles of a block's sets on average at most.
+BLOCK_SHINGLES = 1 << 20
 #: Of a text's list in a pair of blocks, so many are confirmed in the first wave.
 NEAREST = 2
 
@@ -194,7 +196,7 @@ def cells(groups: DataFrame, percent: int, block: int, folder: str) -> DataFrame
     """
     kind = F.floor(F.log(F.col("size").cast("double")) / F.lit(-math.log(0.99 * percent / 100)))
     groups = materialize(groups.withColumn("kind", kind), folder, "classed")
-    blocks = materialize(groups.groupBy("root", "kind").agg(F.ceil(F.count("*") / F.lit(block)).cast("int").alias("blocks")), folder, "blocks")
+    blocks = materialize(groups.groupBy("root", "kind").agg(F.ceil(F.greatest(F.count("*") / F.lit(block), F.sum("size") / F.lit(BLOCK_SHINGLES))).cast("int").alias("blocks")), folder, "blocks")
     dealt = groups.join(sized_broadcast(blocks), ["root", "kind"]).withColumn("block", F.pmod(F.xxhash64("rep", F.lit("block")), F.col("blocks")).cast("int"))
     dealt = materialize(dealt, folder, "dealt")
     found = []
@@ -206,8 +208,8 @@ def cells(groups: DataFrame, percent: int, block: int, folder: str) -> DataFrame
     return found[0].unionByName(found[1]).unionByName(found[2])
 
 
-def near_lists(placed: DataFrame, places: int, radius: int, percent: int, most: int | None) -> DataFrame:
-    """(a, b): for each text of a cell the nearest ``most`` (null: all) of those within the radius that may be linked, without those of its component.
+def near_lists(placed: DataFrame, places: int, radius: int, percent: int, most: int) -> DataFrame:
+    """(a, b): for each text of a cell the nearest ``most`` of those within the radius that may be linked, without those of its component.
 
     ``placed`` has rep, size, root (its component so far), signature, first and cell.
     """
@@ -234,19 +236,51 @@ def near_lists(placed: DataFrame, places: int, radius: int, percent: int, most:
         for n, i in enumerate(left.tolist()):
             far[n] = (theirs != sign[i]).sum(axis=1)
         ok = (far <= radius) & (100 * np.minimum.outer(size[left], size[right]) >= percent * np.maximum.outer(size[left], size[right])) & (root[left][:, None] != root[right])
-        if most is None:
-            i, j = np.nonzero(np.triu(ok) if whole else ok)
-        else:
-            i, j = nearest(far, ok)
-            if not whole:  # else a row is a column, too
-                more_j, more_i = nearest(far.T, ok.T)
-                i, j = np.concatenate([i, more_i]), np.concatenate([j, more_j])
+        i, j = nearest(far, ok)
+        if not whole:  # else a row is a column, too
+            more_j, more_i = nearest(far.T, ok.T)
+            i, j = np.concatenate([i, more_i]), np.concatenate([j, more_j])
         x, y = rep[left[i]], rep[right[j]]
         return pa.table({"a": np.minimum(x, y), "b": np.maximum(x, y)})
 
     return placed.groupBy("cell").applyInArrow(run, "a long, b long")
 
 
+def linked_in_place(placed: DataFrame, places: int, radius: int, percent: int) -> DataFrame:
+    """Links (a, b) of each cell that join texts of different components, confirmed in the cell; of what they join there, a forest.
+
+    ``placed`` is that of ``near_lists`` with ``members``.  Every pair within the
+    radius that may be linked is confirmed, unless links have joined it before.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        rep, size, first = (table[c].to_numpy(zero_copy_only=False) for c in ("rep", "size", "first"))
+        root = np.unique(table["root"].to_numpy(), return_inverse=True)[1]
+        sign = np.frombuffer(b"".join(table["signature"].to_pylist()), np.uint16).reshape(len(rep), places)
+        sets = [np.frombuffer(m.as_py(), np.uint64) for m in table["members"]]
+        size = size.astype(np.int64)
+        whole = bool(first.all())
+        left = np.flatnonzero(first)
+        right = left if whole else np.flatnonzero(~first)
+        a, b = [], []
+        for i in left.tolist():
+            theirs = right[(right > i) & (root[right] != root[i])] if whole else right[root[right] != root[i]]
+            theirs = theirs[100 * np.minimum(size[i], size[theirs]) >= percent * np.maximum(size[i], size[theirs])]
+            far = (sign[theirs] != sign[i]).sum(axis=1)
+            near = np.flatnonzero(far <= radius)
+            for j in theirs[near[np.argsort(far[near], kind="stable")]].tolist():
+                if root[j] == root[i]:
+                    continue
+                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                if 100 * both >= percent * (size[i] + size[j] - both):
+                    a.append(min(rep[i], rep[j]))
+                    b.append(max(rep[i], rep[j]))
+                    root[root == root[j]] = root[i]
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return placed.groupBy("cell").applyInArrow(run, "a long, b long")
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that reach the threshold on their full sets (rep, members)."""
 
@@ -341,8 +375,9 @@ def hamming_join(
     if grouped:
         roots = materialize(roots, folder, "roots_so_far")
         now = own.select("rep", "signature").join(sized_broadcast(roots), "rep", "left").select("rep", "signature", F.coalesce("root", "rep").alias("root"))
-        apart = materialize(near_lists(placed.join(materialize(now, folder, "signed"), "rep"), places, radius, percent, None).distinct(), folder, "apart")
-        more = materialize(confirmed(apart, sets.of(apart), percent), folder, "more_links")
+        full = sets.of(groups.select(F.col("rep").alias("a"), F.col("rep").alias("b")))
+        signed = materialize(now.join(full, "rep"), folder, "signed")
+        more = materialize(linked_in_place(placed.join(signed, "rep"), places, radius, percent), folder, "more_links")
         joined = roots.select(F.col("rep").alias("a"), F.col("root").alias("b")).unionByName(more)
         links = links.unionByName(more)
         roots = connected(joined, f"{folder}/all_roots").withColumnsRenamed({"node": "rep", "component": "root"})
