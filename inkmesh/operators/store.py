@@ -6,7 +6,8 @@ afterwards, and ``sources.snapshot`` publishes them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from heapq import heapify, heappop, heappush
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -16,6 +17,7 @@ from inkmesh.functions.text import is_blank, raw_title, saved_title, sanitize_ti
 from inkmesh.operators.asof import last_before
 from inkmesh.operators.components import connected
 from inkmesh.operators.graph import within
+from inkmesh.operators.ordinals import numbered
 from inkmesh.schemas import NOTES
 from inkmesh.sources.scratch import scratch, written
 
@@ -26,10 +28,10 @@ def _last_seq(notes: DataFrame) -> DataFrame:
     return notes.agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("__last"))
 
 
-def _patched(notes: DataFrame, patch: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows of ``notes`` with ``columns`` from ``patch`` where the id has a row there (a NULL counts as a value)."""
-    p = patch.select("id", F.lit(True).alias("__hit"), *[F.col(c).alias(f"__{c}") for c in columns])
-    joined = notes.join(p, "id", "left")
+def _patched(notes: DataFrame, patch: DataFrame, columns: list[str], keys: Iterable[str] = ()) -> DataFrame:
+    """Rows of ``notes`` with ``columns`` from ``patch`` where the id (of the same ``keys``) has a row there (a NULL counts as a value)."""
+    p = patch.select(*keys, "id", F.lit(True).alias("__hit"), *[F.col(c).alias(f"__{c}") for c in columns])
+    joined = notes.join(p, [*keys, "id"], "left")
     return joined.select(*[F.when(F.col("__hit"), F.col(f"__{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in notes.columns])
 
 
@@ -116,6 +118,8 @@ def save_new(notes: DataFrame, saves: DataFrame) -> DataFrame:
 
 #: Titles of one id up to which its saves may part the runs of those titles (see ``_thinned``).
 FEW_TITLES = 8
+#: Rows of a component that one task replays at once; larger ones go through windows of so many saves.
+GROUP_ROWS, WINDOW_ROWS = 1 << 16, 1 << 19
 _NEW = 1 << 62
 
 
@@ -145,6 +149,107 @@ def _thinned(log: DataFrame, held: DataFrame, keys: list[str], folder: str) -> D
     return marked.where(F.col("__whole") | F.col("__sure").isNull() | (F.col("pos") <= F.col("__sure")) | (F.col("pos") == F.col("__last"))).select(*keys, "pos")
 
 
+def _targets(notes: Iterable[tuple], saves: Iterable[tuple]) -> Iterator[tuple]:
+    """(place, target, title, order) of all saves that write, given notes (id, title, order) and saves (place, note or None, fresh id, title, order of a new note)."""
+    held: dict = {}
+    holders: dict[object, list[tuple]] = {}
+    for i, title, order in notes:
+        held[i] = title, order
+        holders.setdefault(title, []).append((order, i))
+    for owners in holders.values():
+        heapify(owners)
+    for place, note, fresh, title, order in saves:
+        owners = holders.setdefault(title, [])
+        while owners and held[owners[0][1]][0] != title:  # it has moved away
+            heappop(owners)
+        if owners:
+            order, target = owners[0]
+        else:
+            if note is None:
+                target = fresh
+            elif note in held:
+                target, order = note, held[note][1]
+            else:
+                continue
+            held[target] = title, order
+            heappush(owners, (order, target))
+        yield place, target, title, order
+
+
+def _in_groups(notes: DataFrame, saves: DataFrame, keys: list[str]) -> DataFrame:
+    """(store keys, pos, target) of the saves that write, each component in one group."""
+    columns = [*keys, "pos", "target"]
+    text = {f.name: f.dataType.simpleString() for f in saves.schema}
+
+    def replay(before: pd.DataFrame, log: pd.DataFrame) -> pd.DataFrame:
+        log = log.sort_values("pos")
+        named = [n if isinstance(n, str) else None for n in log["note_id"]]
+        at = log["pos"].tolist()
+        found = _targets(zip(before["id"], before["title"], before["seq"], strict=True), zip(at, named, log["new_id"], log["title"], [_NEW + p for p in at], strict=True))
+        store = log[keys].iloc[0].tolist() if len(log) else []
+        return pd.DataFrame([(*store, r[0], r[1]) for r in found], columns=columns)
+
+    by = [*keys, "component"]
+    return notes.groupBy(*by).cogroup(saves.groupBy(*by)).applyInPandas(replay, ", ".join([*[f"`{k}` {text[k]}" for k in keys], f"pos {text['pos']}", "target string"]))
+
+
+def _in_windows(notes: DataFrame, saves: DataFrame, keys: list[str], folder: str) -> DataFrame:
+    """The same for components that no task holds: the log goes by in windows of ``WINDOW_ROWS`` saves.
+
+    Titles and ids are numbers here.  ``state`` is the title of each note at
+    the window's begin; a window is replayed in one task with the notes that it names, and for each of
+    its titles the earliest other holder, which cannot move in it.  The saves up to the next
+    one that meets a title without holder, and so may make or move a note,
+    change no title: they need no window, and are joined with the holders.
+    """
+    spark = saves.sparkSession
+    names = notes.select(*keys, "id").unionByName(saves.select(*keys, F.explode(F.array("note_id", "new_id")).alias("id")))
+    ids = written(numbered(names.where("id is not null").distinct(), [*keys, "id"], "__i", folder=f"{folder}/ids"), folder, "id_numbers")
+    titles = notes.select(*keys, "title").unionByName(saves.select(*keys, "title")).distinct()
+    titles = written(numbered(titles, [*keys, "title"], "t", folder=f"{folder}/titles"), folder, "title_numbers")
+    number = lambda c, n: ids.select(*keys, F.col("id").alias(c), F.col("__i").alias(n))
+    placed = written(numbered(saves, ["pos", *keys], "at", folder=f"{folder}/places"), folder, "placed")
+    coded = placed.join(titles, [*keys, "title"]).join(number("note_id", "note"), [*keys, "note_id"], "left").join(number("new_id", "fresh"), [*keys, "new_id"], "left")
+    log = written(coded.select("at", F.coalesce("note", F.lit(-1)).alias("note"), F.coalesce("fresh", F.lit(-1)).alias("fresh"), "t").repartitionByRange("at").sortWithinPartitions("at"), folder, "coded")
+    state = notes.join(titles, [*keys, "title"]).join(number("id", "i"), [*keys, "id"]).select("i", "t", F.col("seq").alias("o"))
+    state = written(state, folder, "state")
+    lasts = written(log.groupBy("t").agg(F.max("at").alias("last")), folder, "lasts")
+    total, low, parts = log.count(), 0, []
+
+    def kept(df: DataFrame) -> None:
+        parts.append(f"{folder}/part{len(parts)}")
+        df.write.mode("overwrite").parquet(parts[-1])
+
+    def replay(before: pd.DataFrame, window: pd.DataFrame) -> pd.DataFrame:
+        window = window.sort_values("at")
+        at = window["at"].tolist()
+        named = [None if n < 0 else n for n in window["note"].tolist()]
+        found = _targets(zip(*[before[c].tolist() for c in "ito"], strict=True), zip(at, named, window["fresh"].tolist(), window["t"].tolist(), [_NEW + p for p in at], strict=True))
+        return pd.DataFrame(list(found), columns=["at", "i", "t", "o"])
+
+    while low < total:
+        rest = log.where(F.col("at") >= low)
+        free = lasts.where(F.col("last") >= low).join(state, "t", "left_anti").select("t")
+        acting = rest.join(free, "t", "left_semi").join(state.select(F.col("i").alias("note"), F.lit(True).alias("known")), "note", "left").where("note < 0 or known")
+        stop = acting.agg(F.min("at")).first()[0]
+        stop = total if stop is None else stop
+        if stop > low:
+            kept(rest.where(F.col("at") < stop).join(state.groupBy("t").agg(F.min_by("i", F.struct("o", "i")).alias("i")), "t").select("at", "i"))
+        low = stop + WINDOW_ROWS
+        if stop < total:
+            window = log.where((F.col("at") >= stop) & (F.col("at") < low))
+            named = window.where("note >= 0").select(F.col("note").alias("i")).distinct()
+            still = state.join(window.select("t").distinct(), "t", "left_semi").join(named, "i", "left_anti").groupBy("t").agg(F.min(F.struct("o", "i")).alias("least"))
+            before = state.join(named, "i", "left_semi").select("i", "t", "o").unionByName(still.select("least.i", "t", "least.o"))
+            one = lambda df: df.withColumn("one", F.lit(0)).groupBy("one")
+            wrote = written(one(before).cogroup(one(window)).applyInPandas(replay, "at long, i long, t long, o long"), folder, f"window{low}")
+            kept(wrote.select("at", "i"))
+            now = wrote.groupBy("i").agg(F.max_by("t", "at").alias("t"), F.max("o").alias("o"))
+            state = written(state.join(now, "i", "left_anti").select("i", "t", "o").unionByName(now), folder, f"state{low}")
+    found = spark.read.schema("at long, i long").parquet(*parts)
+    return found.join(placed.select(*keys, "pos", "at"), "at").join(ids.withColumnRenamed("__i", "i"), [*keys, "i"]).select(*keys, "pos", F.col("id").alias("target"))
+
+
 def save_replay(notes: DataFrame, saves: DataFrame, folder: str | None = None) -> DataFrame:
     """Replays saves that may name ids (pos, note_id or NULL, new_id, content, category, ts), in order of ``pos`` (unique).
 
@@ -153,7 +258,9 @@ def save_replay(notes: DataFrame, saves: DataFrame, folder: str | None = None) -
     So whether a save overwrites depends on the titles left by those before it,
     but only through titles and notes that the log ties together: saves, and the
     notes that they can reach, are parted into the connected components of
-    titles and ids, and each component is replayed by itself.  Before that, saves
+    titles and ids, and each component is replayed by itself: in one group, or, with
+    more than ``GROUP_ROWS`` rows, window by window (``_in_windows``).  A replay sees names
+    and places only; texts are joined to what it finds.  Before that, saves
     of which nothing stays and nothing depends are left out (``_thinned``), so that
     a title of very many saves is a few rows.  Notes of which no title or id
     occurs in the log never leave their place; of those that share a title with
@@ -168,23 +275,24 @@ def save_replay(notes: DataFrame, saves: DataFrame, folder: str | None = None) -
     columns = [*keys, *NOTES.fieldNames()]
     spread = lambda *names: [*keys, *names]
     titled = written(saves.select(*spread("pos", "note_id", "new_id", "content", "ts"), saved_title(F.col("content")).alias("title"), stored_category(F.col("category")).alias("category")), folder, "saves")
+    narrow = written(notes.select(*spread("id", "title", "seq")), folder, "notes")
     names = titled.select(*spread("new_id")).where("new_id is not null").withColumnRenamed("new_id", "id")
     fresh_ids = titled.where("note_id is null").select(*spread("new_id")).withColumnRenamed("new_id", "id")
-    if fresh_ids.where("id is null").limit(1).count() or names.groupBy(*spread("id")).count().where("count > 1").limit(1).count() or names.join(notes.select(*spread("id")), spread("id"), "left_semi").limit(1).count():
+    if fresh_ids.where("id is null").limit(1).count() or names.groupBy(*spread("id")).count().where("count > 1").limit(1).count() or names.join(narrow, spread("id"), "left_semi").limit(1).count():
         raise ValueError("the ids of new notes must be new, and differ")
 
-    known = notes.select(*spread("id"), F.lit(True).alias("sure")).withColumnRenamed("id", "note_id")
+    known = narrow.select(*spread("id"), F.lit(True).alias("sure")).withColumnRenamed("id", "note_id")
     log = titled.select(*spread("pos", "note_id", "new_id", "title")).join(known, spread("note_id"), "left")
     log = written(log.select(*spread("pos", "note_id", "new_id", "title"), (F.col("note_id").isNull() | F.col("sure").isNotNull()).alias("sure")), folder, "log")
     named = written(log.where("note_id is not null").select(*spread("note_id")).distinct(), folder, "named")
-    moving = written(notes.join(named.withColumnRenamed("note_id", "id"), spread("id"), "left_semi").select(*spread("id", "title", "seq")), folder, "moving")
+    moving = written(narrow.join(named.withColumnRenamed("note_id", "id"), spread("id"), "left_semi").select(*spread("id", "title", "seq")), folder, "moving")
     held = moving.select(*spread("title", F.col("id").alias("note_id"))).unionByName(log.where("note_id is not null").select(*spread("title", "note_id")))
     made = log.where("note_id is null").select(*spread("title", F.col("new_id").alias("note_id"))).join(named, spread("note_id"), "left_semi")
     kept = written(titled.join(_thinned(log, held.unionByName(made.select(*held.columns)), keys, folder), spread("pos"), "left_semi"), folder, "kept")
 
-    still = notes.select(*spread("id", "title", "seq")).join(kept.select(*spread("title")).distinct(), spread("title"), "left_semi").join(named.withColumnRenamed("note_id", "id"), spread("id"), "left_anti")
-    still = still.groupBy(*spread("title")).agg(F.min_by("id", "seq").alias("id"))
-    reached = written(moving.select(*spread("id", "title")).unionByName(still.select(*spread("id", "title"))), folder, "reached")
+    still = narrow.join(kept.select(*spread("title")).distinct(), spread("title"), "left_semi").join(named.withColumnRenamed("note_id", "id"), spread("id"), "left_anti")
+    still = still.groupBy(*spread("title")).agg(F.min_by("id", "seq").alias("id"), F.min("seq").alias("seq"))
+    reached = written(moving.select(*spread("id", "title", "seq")).unionByName(still.select(*spread("id", "title", "seq"))), folder, "reached")
 
     # equal hashes of different names only join components, which changes no result
     node = lambda kind, c: F.xxhash64(F.lit(kind), *keys, c)
@@ -192,40 +300,27 @@ def save_replay(notes: DataFrame, saves: DataFrame, folder: str | None = None) -
     of_saves = kept.select(node("title", "title").alias("a"), node("id", F.coalesce("note_id", "new_id")).alias("b"))
     component = written(connected(of_notes.unionByName(of_saves).distinct(), f"{folder}/ties"), folder, "components").withColumnRenamed("node", "__node")
     placed = lambda df: df.withColumn("__node", node("title", "title")).join(component, "__node").drop("__node")
-    old = written(placed(notes.select(*columns).join(reached.select(*spread("id")), spread("id"), "left_semi")), folder, "old_placed")
-    new = written(placed(kept), folder, "kept_placed")
+    old = written(placed(reached), folder, "old_placed")
+    new = written(placed(kept.select(*spread("pos", "note_id", "new_id", "title"))), folder, "kept_placed")
+    sizes = old.select("component").unionByName(new.select("component")).groupBy("component").agg(F.count("*").alias("rows"))
+    large = written(sizes.where(F.col("rows") > GROUP_ROWS).select("component"), folder, "large")
+    part = lambda df, how: df.join(large, "component", how)
+    writes = _in_groups(part(old, "left_anti"), part(new, "left_anti"), keys)
+    if large.head(1):
+        writes = writes.unionByName(_in_windows(part(old, "left_semi").drop("component"), part(new, "left_semi").drop("component"), keys, f"{folder}/windows"))
+    writes = written(writes, folder, "writes")
+
+    last = writes.groupBy(*spread("target")).agg(F.max("pos").alias("pos"))
+    last = last.join(kept.select(*spread("pos", "title", "content", "category", "ts")), spread("pos")).select(*spread("target", "title", "content", "category", "ts")).withColumnRenamed("target", "id")
+    last = written(last, folder, "last")
+    made = kept.where("note_id is null").join(writes.withColumnRenamed("target", "new_id"), spread("pos", "new_id"), "left_semi").select(*spread("pos", "new_id", "ts"))
     end = F.coalesce(F.max("seq"), F.lit(-1)).alias("__end")
-    ends = notes.groupBy(*keys).agg(end) if keys else notes.agg(end)
-    schema = notes.select(columns).schema
-
-    def replay(before: pd.DataFrame, log: pd.DataFrame) -> pd.DataFrame:
-        rows = {r["id"]: r for r in before.drop(columns="component").sort_values("seq").to_dict("records")}
-        holders: dict[str, set[str]] = {}
-        for r in rows.values():
-            holders.setdefault(r["title"], set()).add(r["id"])
-        for s in log.sort_values("pos").to_dict("records"):
-            title, owners = s["title"], holders.setdefault(s["title"], set())
-            value = {"title": title, "content": s["content"], "category": s["category"], "updated_at": s["ts"]}
-            if owners:
-                target = min(owners, key=lambda i: rows[i]["seq"])
-            elif isinstance(s["note_id"], str):
-                target = s["note_id"]
-                if target not in rows:
-                    continue
-                holders[rows[target]["title"]].discard(target)
-            else:
-                target = s["new_id"]
-                rows[target] = {**{k: s[k] for k in keys}, "id": target, "created_at": s["ts"], "seq": _NEW + s["pos"]}
-            owners.add(target)
-            rows[target].update(value)
-        return pd.DataFrame(list(rows.values()), columns=columns)
-
-    after = old.groupBy("component").cogroup(new.groupBy("component")).applyInPandas(replay, schema)
-    # new notes come out with places above all others, and get those after the store's last
-    after = written(after, folder, "after")
-    numbered = after.join(F.broadcast(ends), keys, "left") if keys else after.join(F.broadcast(ends), F.lit(True))
-    after = numbered.withColumn("seq", F.when(F.col("seq") >= _NEW, F.coalesce("__end", F.lit(-1)) + 1 + F.col("seq") - _NEW).otherwise(F.col("seq"))).select(*columns)
-    return notes.select(*columns).join(reached.select(*spread("id")), spread("id"), "left_anti").select(*columns).unionByName(after)
+    ends = narrow.groupBy(*keys).agg(end) if keys else narrow.agg(end)
+    made = made.withColumnsRenamed({"new_id": "id", "ts": "created_at"})
+    made = made.join(F.broadcast(ends), keys, "left") if keys else made.join(F.broadcast(ends), F.lit(True))
+    fresh = made.join(last, spread("id")).select(*spread("id", "title", "content", "category", "created_at"), F.col("ts").alias("updated_at"), (F.coalesce("__end", F.lit(-1)) + 1 + F.col("pos")).cast("long").alias("seq"))
+    patch = last.withColumnRenamed("ts", "updated_at")
+    return _patched(notes.select(*columns), patch, ["title", "content", "category", "updated_at"], keys).unionByName(fresh.select(*columns))
 
 
 def save_by_id(notes: DataFrame, note_id: str, content: str, category: str, ts: Column) -> DataFrame:

@@ -111,3 +111,25 @@ def test_later_batches_see_earlier_ones(spark, tmp_path):
     assert [(r["id"], r["seq"]) for r in after.orderBy("seq").collect()] == [("o1", 0), ("o2", 1), ("y0", 2), ("y1", 3), ("z0", 4), ("z1", 5), ("x0", 6), ("x1", 7)]
     with pytest.raises(ValueError):
         ingest.ingest(after, links, df, note_id, F.lit(T0), str(tmp_path / "again"))
+
+
+@pytest.mark.parametrize("window", [7, 64, 1000])
+def test_a_component_too_large_for_a_group_goes_through_windows(spark, tmp_path, window, monkeypatch):
+    monkeypatch.setattr(store, "GROUP_ROWS", 20)
+    monkeypatch.setattr(store, "WINDOW_ROWS", window)
+    monkeypatch.setattr(store, "FEW_TITLES", 1)
+    largest = []
+    replay = store._in_groups
+
+    def watched(notes, saves, keys):
+        largest.append(saves.groupBy("component").count().agg(F.max("count")).first()[0] or 0)
+        return replay(notes, saves, keys)
+
+    monkeypatch.setattr(store, "_in_groups", watched)
+    rng = random.Random(window)
+    start = [(f"a{k}", f"T{rng.randrange(4)}") for k in range(6)] + [("b", "B")]
+    n = 60 if window == 7 else 200
+    saves = [(pos, rng.choice([None, f"a{rng.randrange(6)}", f"a{rng.randrange(6)}", f"n{rng.randrange(n)}", "unknown"]), f"n{pos}", t, f"# {t}\nbody {pos}") for pos in range(n) for t in [f"T{rng.randrange(9)}"]]
+    saves += [(n, "b", f"n{n}", "C", "# C\nmoved"), (n + 1, None, f"n{n + 1}", "B", "# B\nnew")]
+    assert replayed(spark, str(tmp_path), start, saves) == model(start, saves)
+    assert max(largest) <= 20
