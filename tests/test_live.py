@@ -113,3 +113,29 @@ def test_ids_are_version_5_and_tell_parts_apart(spark):
     df = spark.createDataFrame([("a", "b"), ("ab", ""), ("a", None), ("a", "b")], "p string, q string")
     got = [r[0] for r in df.select(ids.name_uuid("p", "q")).collect()]
     assert len(set(got)) == 3 and got[0] == got[3] and all(uuid.UUID(g).version == 5 and uuid.UUID(g).variant == uuid.RFC_4122 for g in got)
+
+
+@pytest.mark.parametrize("whole", [16, 2])
+def test_deltas_take_whole_batches_and_repeats(spark, tmp_path, whole, monkeypatch):
+    """Late, repeated and negative numbers do nothing, over batches; no Python runs for a note."""
+    monkeypatch.setattr(live, "WHOLE", whole)
+    assert "Pandas" not in live.deltas(live.steps(spark.createDataFrame([], live.CHANGE), spark.createDataFrame([], live.STATE)))._jdf.queryExecution().toString()
+    rng, kept, seen, batches = random.Random(whole), {}, {}, []
+    for b in range(5):
+        batch = {(seq := rng.randrange(30 * b - 12, 30 * b + 30), i): (seq, i, rng.random() < 0.3, f"T{rng.randrange(5)}", rng.choice([None, "k"])) for _ in range(25) for i in [f"n{rng.randrange(9)}"]}
+        batches.append(list(batch.values()))
+        for seq, i, gone, title, category in sorted(batches[-1]):
+            if seq <= seen.get(i, -1):
+                continue
+            seen[i] = seq
+            if gone:
+                kept.pop(i, None)
+            else:
+                kept[i] = (title, category, kept[i][2] if i in kept else seq)
+    n = max(map(len, batches))
+    for b, rows in enumerate(batches):
+        spark.createDataFrame(rows + rows[-1:] * (n - len(rows)), live.CHANGE).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(live.CHANGE).parquet(str(tmp_path / "in"))
+        live.keep_views(stream, str(tmp_path / "deltas"), str(tmp_path / "cp")).awaitTermination()
+    got = live.held(live.read_deltas(spark, str(tmp_path / "deltas"))).collect()
+    assert {r["id"]: (r["title"], r["category"], r["place"]) for r in got} == kept
