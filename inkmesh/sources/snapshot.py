@@ -7,9 +7,10 @@ written again, so what is read stays as it is.
 
 A table is a *base*, in hash buckets of its key, and *changes* laid over it:
 rows put and keys deleted, each change one folder.  A mutation writes only its
-change, so what it costs to write grows with what it changes.  A read merges
-the buckets that have changes, in which the last change of a key counts, and
-takes the others as they are.  ``compact`` writes the changed buckets anew.
+change, so what it costs to write grows with what it changes; a rename leaves
+the notes' text where it is.  A read merges
+the buckets that have changes, in which the last change of a key counts (of a
+text, the last that holds it), and takes the others as they are.  ``compact`` writes the changed buckets anew.
 
 Writers are optimistic: a mutation is built on the version it sees, and if
 another writer takes the next one first, it is built again on that, with all
@@ -33,6 +34,8 @@ from inkmesh.schemas import LINKS, NOTES, SETTINGS
 
 TABLES = {"notes": NOTES, "note_links": LINKS, "settings": SETTINGS}
 KEYS = {"notes": ["id"], "note_links": ["source_note_id", "target_note_id"], "settings": ["key"]}
+#: Long columns that a change may leave as they are.
+LONG = {"notes": ["content"]}
 BUCKETS = 32
 #: Changed keys that are sent to all tasks of a merge; more are joined by a shuffle.
 BROADCAST_KEYS = 200_000
@@ -46,10 +49,14 @@ class Conflict(RuntimeError):
 
 @dataclass
 class Change:
-    """What a mutation does to one table: rows to put (by key) and keys to delete."""
+    """What a mutation does to one table: rows to put (by key) and keys to delete.
+
+    Rows put need not have the ``LONG`` columns in ``keeps``; the rows with these keys, which exist, keep theirs.
+    """
 
     puts: DataFrame | None = None
     deletes: DataFrame | None = None
+    keeps: tuple[str, ...] = ()
 
 
 def _bucket(name: str):
@@ -76,14 +83,20 @@ class Snapshot:
         still = [b.where(~F.col("bucket").isin(changed)).select(*columns) for b in base]
         if not changed:
             return _union(still) if still else self.spark.createDataFrame([], schema)
-        log = _union([load(c["path"], [T.StructField("gone", T.BooleanType())]).withColumn("__commit", F.lit(c["commit"])) for c in table["changes"]])
-        last = log.groupBy(*keys).agg(F.max_by(F.struct("gone", *[c for c in columns if c not in keys]), "__commit").alias("r"))
-        taken = last.select(*keys)
+        long = LONG.get(name, [])
+        # a base row is a change before all others; each long column has the commit that last held it
+        told = lambda rows, commit, keeps: rows.withColumns({"__commit": F.lit(commit), **{f"__held_{c}": F.lit(None if c in keeps else commit).cast("int") for c in long}})
+        log = _union([told(load(c["path"], [T.StructField("gone", T.BooleanType())]), c["commit"], c.get("keeps", [])) for c in table["changes"]])
+        merged = [b.where(F.col("bucket").isin(changed)) for b in base]
         if sum(c["rows"] for c in table["changes"]) <= BROADCAST_KEYS:
-            taken = F.broadcast(taken)
-        merged = [b.where(F.col("bucket").isin(changed)).select(*columns).join(taken, keys, "left_anti").select(*columns) for b in base]
-        put = last.where("not r.gone").select(*keys, *[F.col(f"r.{c}").alias(c) for c in columns if c not in keys]).select(*columns)
-        return _union([*still, *merged, put])
+            taken = F.broadcast(log.select(*keys).distinct())
+            still += [b.join(taken, keys, "left_anti").select(*columns) for b in merged]
+            merged = [b.join(taken, keys, "left_semi") for b in merged]
+        met = _union([log, *[told(b.withColumn("gone", F.lit(False)), 0, []) for b in merged]])
+        short = [c for c in columns if c not in keys and c not in long]
+        last = met.groupBy(*keys).agg(F.max_by(F.struct("gone", *short), "__commit").alias("r"), *[F.max_by(c, f"__held_{c}").alias(c) for c in long])
+        put = last.where("not r.gone").select(*[F.col(f"r.{c}").alias(c) if c in short else F.col(c) for c in columns])
+        return _union([*still, put])
 
 
 class Store:
@@ -174,14 +187,15 @@ class Store:
                 columns = TABLES[name].fieldNames()
                 rows = []
                 if change.puts is not None:
-                    rows.append(change.puts.select(*columns, F.lit(False).alias("gone")))
+                    kept = {c: F.lit(None).cast(TABLES[name][c].dataType) for c in change.keeps}
+                    rows.append(change.puts.withColumns(kept).select(*columns, F.lit(False).alias("gone")))
                 if change.deletes is not None:
                     gone = change.deletes.select(*KEYS[name]).distinct()
                     rows.append(gone.select(*[F.col(c) if c in KEYS[name] else F.lit(None).cast(TABLES[name][c].dataType).alias(c) for c in columns], F.lit(True).alias("gone")))
                 path, buckets, n = self._written(_union(rows), name)
                 paths.append(path)
                 if n:
-                    state.setdefault(name, {"base": [], "changes": []})["changes"].append({"path": path, "buckets": buckets, "rows": n, "commit": new})
+                    state.setdefault(name, {"base": [], "changes": []})["changes"].append({"path": path, "buckets": buckets, "rows": n, "commit": new, "keeps": list(change.keeps)})
             if state == seen.state:
                 for path in paths:
                     self._drop(path)
@@ -244,7 +258,7 @@ class Store:
         return self.commit(lambda now: {"notes": Change(store.update_notes(self._touched(now, patch), patch))})
 
     def rename_notes(self, renames: DataFrame) -> int:
-        return self.commit(lambda now: {"notes": Change(store.rename_notes(self._touched(now, renames), renames))})
+        return self.commit(lambda now: {"notes": Change(store.rename_notes(self._touched(now, renames).drop("content"), renames), keeps=("content",))})
 
     def _without(self, now: Snapshot, gone: DataFrame) -> dict[str, Change]:
         """Deletes notes, and the links that touch them."""

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from inkmesh.operators import store
 from inkmesh.schemas import LINKS, NOTES, SETTINGS
+from inkmesh.sources import snapshot
 from inkmesh.sources.snapshot import Change, Conflict, Store
 
 T0 = dt.datetime(2024, 1, 1)
@@ -130,3 +131,25 @@ def test_checks_are_made_again(spark, tmp_path):
     assert s.read("note_links").count() == 0 and s.version() == 2
     (tmp_path / "store" / "commits" / "9.json.tmp").write_text("a commit that broke off")
     assert s.version() == 2
+
+
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_a_rename_does_not_write_texts_again(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(snapshot, "BROADCAST_KEYS", most)
+    s = snapshot.Store(spark, f"file://{tmp_path}/store")
+    t0 = dt.datetime(2024, 1, 1)
+    s.publish(notes=spark.createDataFrame([(i, f"T{i}", None if i == "c" else f"text {i}", "k", t0, t0, k) for k, i in enumerate("abcd")], NOTES))
+    renames = lambda ids: spark.createDataFrame([(i, f"New {i}", "r", t0) for i in ids], "id string, new_title string, category string, ts timestamp_ntz")
+    s.rename_notes(renames("abc"))
+    change = s.snapshot().state["notes"]["changes"][-1]
+    assert spark.read.parquet(f"{s.root}/data/{change['path']}").where("content IS NOT NULL").count() == 0
+    s.update_notes(spark.createDataFrame([("a", "A", "other", "u", t0)], "id string, title string, content string, category string, ts timestamp_ntz"))
+    s.rename_notes(renames("ad"))
+    s.delete_notes(spark.createDataFrame([("b",)], "id string"))
+    s.insert_notes(spark.createDataFrame([("b", "B", "anew", "n", t0, 0), ("e", "E", "text e", "n", t0, 1)], "id string, title string, content string, category string, ts timestamp_ntz, pos int"))
+    s.rename_notes(renames("e"))
+    want = [("a", "New a", "other", "r"), ("b", "B", "anew", "n"), ("c", "New c", None, "r"), ("d", "New d", "text d", "r"), ("e", "New e", "text e", "r")]
+    rows = lambda: sorted(tuple(r) for r in s.read("notes").select("id", "title", "content", "category").collect())
+    assert rows() == want
+    s.compact("notes")
+    assert rows() == want and not s.snapshot().state["notes"]["changes"]
