@@ -110,8 +110,9 @@ def place_nodes(nodes: DataFrame, links: DataFrame, sweeps: int = SWEEPS, gap: f
     """
     folder = folder or scratch(nodes.sparkSession)
     size = lambda c, default: F.coalesce(F.col(c), F.lit(default)).cast("double") if c in nodes.columns else F.lit(default)
-    known = numbered(nodes.select("id", size("w", DEFAULT_WIDTH).alias("w"), size("h", DEFAULT_HEIGHT).alias("h")), ["id"], "node", folder=f"{folder}/numbers")
-    known = written(known, folder, "known")
+    # dealing into ranges reads its input twice, and sizes may be costly to make
+    sizes = written(nodes.select("id", size("w", DEFAULT_WIDTH).alias("w"), size("h", DEFAULT_HEIGHT).alias("h")), folder, "sizes")
+    known = written(numbered(sizes, ["id"], "node", folder=f"{folder}/numbers"), folder, "known")
     at = lambda end, n: known.select(F.col("id").alias(end), F.col("node").alias(n))
     edges = links.join(at("source_note_id", "a"), "source_note_id").join(at("target_note_id", "b"), "target_note_id").where("a <> b").select("a", "b").distinct()
     edges = written(edges, folder, "links")

@@ -15,9 +15,9 @@ from inkmesh.sources.scratch import scratch, written
 
 
 def _dealt(rows: DataFrame, order: list[str], ranges: int | None, folder: str | None) -> DataFrame:
-    spark = rows.sparkSession
-    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return written(rows.repartitionByRange(ranges, *order).withColumn("__range", F.spark_partition_id()), folder or scratch(spark), "ranges")
+    # without a number, small ranges are joined as the rows' size asks, neighbours only, so they stay in order
+    ranged = rows.repartitionByRange(ranges, *order) if ranges else rows.repartitionByRange(*order)
+    return written(ranged.withColumn("__range", F.spark_partition_id()), folder or scratch(rows.sparkSession), "ranges")
 
 
 def _firsts(dealt: DataFrame, total, start, kind: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkmesh.functions.text import sanitize_title
+from inkmesh.functions.text import in_category, sanitize_title
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,10 +27,10 @@ def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("doc_id").cast("string").alias("source_note_id"), F.explode(ends).alias("target_note_id")).distinct()
 
 
-def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Notes with places and sizes by a rule."""
+def nodes(spark: SparkSession, sf_dir: str, selected: str | None = None) -> DataFrame:
+    """Notes (of a selection) with places and sizes by a rule."""
     i = F.col("seq")
-    return notes(spark, sf_dir).select(
+    return notes(spark, sf_dir).where(in_category(F.col("category"), selected)).select(
         "id", "title", "seq", (7919 * i % 1201).cast("double").alias("x"), (104729 * i % 809).cast("double").alias("y"), (F.length("title") % 90 + 10).cast("double").alias("w"), F.lit(20.0).alias("h")
     )
 

@@ -63,3 +63,23 @@ def test_no_nodes_and_running_totals(spark, tmp_path):
     assert placed(spark, tmp_path / "a", "", []) == {}
     rows = spark.range(200).select((F.col("id") * 37 % 200).alias("k"), F.lit(2).alias("v")).repartition(4)
     assert ordinals.running(rows, ["k"], "v", "t", ranges=5, folder=str(tmp_path / "b")).where("t <> 2 * (k + 1)").count() == 0
+
+
+def test_sizes_are_made_once_and_small_ranges_joined(spark, tmp_path):
+    made, names = spark.sparkContext.accumulator(0), [f"{k:02}" for k in range(40)]
+
+    @F.udf("double")
+    def width(i):
+        made.add(1)
+        return 10.0 + int(i)
+
+    nodes = spark.createDataFrame([(i,) for i in names], "id string").select("id", width("id").alias("w"))
+    partitions = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "20")
+    try:
+        got = layout.place_nodes(nodes, spark.createDataFrame([(a, b) for a, b in zip(names, names[1:3], strict=False)], LINKS), folder=str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    assert {r["id"]: r["w"] for r in got} == {i: 10.0 + int(i) for i in names}
+    assert made.value == len(names)
+    assert spark.read.parquet(f"{tmp_path}/numbers/ranges").select("__range").distinct().count() < 10
