@@ -4,19 +4,21 @@ A row's history is all rows of other folds that lie more than ``gap``
 microseconds earlier.  Of the history rows that share the row's value in a
 column, ``n`` is their number and ``s`` the number of them with the target.
 
-History rows, moved ``gap`` later, and probe rows are put in one table for all
-columns.  Within a key they are ordered by time, probes first on ties, and one
-running window holds the sums of the key for each fold; a probe takes those of
-the folds that are not its own.  No window holds a whole key: a key's time is
+The rows are put in one table for all columns.  Within a key they are ordered by
+time, and one running window holds the sums of the key for each fold over all
+earlier instants; a row takes those of the folds that are not its own.  With a
+gap, a row is in the table two times: where it asks, and ``gap`` later, where it
+is history.  No window holds a whole key: a key's time is
 cut into chunks, and each chunk begins with rows that carry the totals of the
 chunks before it.  Carried totals are running sums over chunk totals, which are
 segmented in the same way, ``fan_out`` chunks at a time, on as many levels as
 it takes.
 
-A key of more than ``chunk_rows`` rows gets as many chunks as that goes into
-its rows.  The list of such keys is counted: up to ``LISTED`` of them are sent
+A key of more than ``chunk_rows`` rows gets as many chunks as a quarter of that
+goes into its rows: up to 4096 rows of a window are held as they are, more in a
+sorter of their own.  The list of such keys is counted: up to ``LISTED`` of them are sent
 to all tasks, more are joined by sort and merge.  Chunks have equal lengths and
-hold ``chunk_rows`` rows on average, if a key's rows lie evenly in time; rows of
+hold that quarter on average, if a key's rows lie evenly in time; rows of
 one instant are in one chunk.
 
 Defined cases: a null key is a key like any other; a null fold counts as fold
@@ -33,7 +35,7 @@ from pyspark.sql import types as T
 from inkmesh.llm.common import materialize, shared_dir
 
 FOLDS = 5
-#: Rows of a key that a chunk holds on average, and chunks that one window runs over.
+#: Rows beyond which a key is cut into chunks of a quarter as many on average, and chunks that one window runs over.
 CHUNK_ROWS, FAN_OUT = 1 << 13, 1 << 10
 #: Keys with several chunks whose list is sent to all tasks (some 60 bytes each).
 LISTED = 1 << 14
@@ -43,7 +45,6 @@ PARTITION_ROWS = 1 << 20
 WEIGHT, UNIT, EMPTY_RATE = 50, 1_000_000, 500_000
 
 _KEY = ["__column", "__number", "__word"]
-_HEAD, _PROBE, _PAST = -1, 0, 1
 
 
 def micros(ts: Column) -> Column:
@@ -106,9 +107,10 @@ def histories(
     all_rows, first, last = base.agg(F.count("*"), F.coalesce(F.min("__time"), F.lit(0)), F.coalesce(F.max("__time"), F.lit(0))).first()
     span = last + gap - first + 1
     large = keyed().groupBy(*_KEY).agg(F.count("*").alias("__rows")).where(F.col("__rows") > chunk_rows)
-    large = materialize(large.withColumn("__length", F.ceil(F.lit(span) / F.ceil(F.col("__rows") / F.lit(chunk_rows)))), folder, "large")
+    in_chunk = max(1, chunk_rows // 4)
+    large = materialize(large.withColumn("__length", F.ceil(F.lit(span) / F.ceil(F.col("__rows") / F.lit(in_chunk)))), folder, "large")
     listed, most = large.agg(F.count("*"), F.coalesce(F.max("__rows"), F.lit(0))).first()
-    chunks = -(-most // chunk_rows)
+    chunks = -(-most // in_chunk)
     sized = large.select(*[F.col(c).alias(f"h{c}") for c in _KEY], "__length")
     sized = F.broadcast(sized) if listed <= LISTED else sized.hint("merge")
 
@@ -130,27 +132,31 @@ def histories(
     heads = materialize(_carried(totals, chunks, fan_out, names), folder, "carried")
     by_fold = F.array(*[F.struct(F.lit(f).alias("__fold"), F.col(f"__n{f}").alias("__n"), F.col(f"__s{f}").alias("__s")) for f in range(folds)])
     nothing = lambda c: F.lit(None).cast(base.schema[c].dataType).alias(c)
-    heads = heads.select(*_KEY, "__chunk", F.explode(by_fold).alias("h")).select(*[nothing(c) for c in ids], *_KEY, "__chunk", F.lit(None).cast("long").alias("__time"), F.lit(_HEAD).alias("__kind"), "h.*").where("__n > 0")
+    heads = heads.select(*[nothing(c) for c in ids], *_KEY, "__chunk", F.lit(first - 1).cast("long").alias("__time"), F.explode(by_fold).alias("h"), F.lit(False).alias("__asks"))
+    heads = heads.select(*ids, *_KEY, "__chunk", "__time", "h.*", "__asks").where("__n > 0")
 
-    kinds = keyed(*ids, "__time", "__fold", "__n", "__s").withColumn("__kind", F.explode(F.array(F.lit(_PROBE), F.lit(_PAST))))
-    is_past = F.col("__kind") == _PAST
-    union = kinds.select(
-        *[F.when(~is_past, F.col(c)).alias(c) for c in ids], *_KEY, (F.col("__time") + F.when(is_past, F.lit(gap)).otherwise(0)).alias("__time"), "__kind", "__fold", *[F.when(is_past, F.col(c)).alias(c) for c in ("__n", "__s")]
-    )
+    table = keyed(*ids, "__time", "__fold", "__n", "__s")
+    if gap:
+        table = table.withColumn("__asks", F.explode(F.array(F.lit(True), F.lit(False)))).withColumns(
+            {c: F.when(F.col("__asks"), F.col(c)) for c in ids} | {c: F.when(~F.col("__asks"), F.col(c)) for c in ("__n", "__s")} | {"__time": F.col("__time") + F.when(F.col("__asks"), 0).otherwise(F.lit(gap))}
+        )
+    else:
+        table = table.withColumn("__asks", F.lit(True))
     # rows are sorted by a hash first: it is compared without a look at the row, which column numbers and null words would not spare
-    union = chunked(union).drop("__length").unionByName(heads).withColumn("__mix", F.xxhash64(*_KEY, "__chunk"))
-    partitions = 2 * len(columns) * all_rows // PARTITION_ROWS
+    table = chunked(table).drop("__length").unionByName(heads).withColumn("__mix", F.xxhash64(*_KEY, "__chunk"))
+    partitions = (2 if gap else 1) * len(columns) * all_rows // PARTITION_ROWS
     if partitions > int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")):
-        union = union.repartition(partitions, "__mix")
-    # a head has no time, and nulls come first
-    running = Window.partitionBy("__mix", *_KEY, "__chunk").orderBy("__time", "__kind").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    of_fold = union.select(*ids, "__column", "__kind", "__fold", *[F.sum(F.when(F.col("__fold") == f, F.col(f"__{part}"))).over(running).alias(f"__{part}{f}") for f in range(folds) for part in "ns"])
+        table = table.repartition(partitions, "__mix")
+    # all earlier instants: a head's time is before that of all rows
+    running = Window.partitionBy("__mix", *_KEY, "__chunk").orderBy("__time").rangeBetween(Window.unboundedPreceding, -1)
+    of_fold = table.select(*ids, "__column", "__asks", "__fold", *[F.sum(F.when(F.col("__fold") == f, F.col(f"__{part}"))).over(running).alias(f"__{part}{f}") for f in range(folds) for part in "ns"])
     others = lambda part: sum((F.when(F.col("__fold") != f, F.coalesce(F.col(f"__{part}{f}"), F.lit(0))).otherwise(0) for f in range(folds)), F.lit(0).cast("long"))
-    return of_fold.where(F.col("__kind") == _PROBE).select(*ids, F.col("__column").alias("column"), others("n").alias("n"), others("s").alias("s"))
+    return of_fold.where("__asks").select(*ids, F.col("__column").alias("column"), others("n").alias("n"), others("s").alias("s"))
 
 
 def gathered(found: DataFrame, ids: list[str], columns: list[str]) -> DataFrame:
     """One row for the ids with ``<column>_n`` and ``<column>_s`` (0 without a history row)."""
+    found = found.repartition(*ids)  # rows of one id meet first: before that, sums would take up more than the rows
     return found.groupBy(*ids).agg(*[F.coalesce(F.max(F.when(F.col("column") == i, F.col(part))), F.lit(0)).alias(f"{c}_{part}") for i, c in enumerate(columns) for part in "ns"])
 
 
@@ -206,7 +212,7 @@ def sale_encodings(sale_lines: DataFrame, sales: DataFrame, items: DataFrame, ve
     own = ["n_lines", "n_returned", "client_n", "client_rate", "all_rate"]
     nothing = lambda *names: {c: F.lit(None).cast("long") for c in names}
     both = found.withColumns(nothing(*own)).unionByName(base.select(*line, *own).withColumns(nothing("n", "s") | {"column": F.lit(None).cast("int")}))
-    wide = both.groupBy(*line).agg(*[F.max(c).alias(c) for c in own], *[F.max(F.when(F.col("column") == i, F.col(part))).alias(f"{c}_{part}") for i, c in enumerate(columns) for part in "ns"])
+    wide = both.repartition(*line).groupBy(*line).agg(*[F.max(c).alias(c) for c in own], *[F.max(F.when(F.col("column") == i, F.col(part))).alias(f"{c}_{part}") for i, c in enumerate(columns) for part in "ns"])
     prior = lambda c: rate(F.col(f"{c}_n"), F.col(f"{c}_s"), F.col("all_rate"))
     return wide.select(
         *line, "n_lines", "n_returned",

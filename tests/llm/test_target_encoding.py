@@ -118,3 +118,13 @@ def test_a_repeated_sale_counts_once_at_its_earliest_time(spark, tmp_path):
     sales = [(1, 6, later), (1, 5, t0), (2, 5, t0 + datetime.timedelta(hours=1)), (1, 5, t0)]
     rows = te.sale_encodings(*_tables(spark, [(1, 1, 7, "returned"), (2, 1, 7, "kept")], sales), folder=str(tmp_path)).collect()
     assert {r["sale_id"]: (r["n_lines"], r["item_n"], r["client_n"]) for r in rows} == {1: (1, 0, 0), 2: (1, 1, 1) if zlib.crc32(b"1") % 5 != zlib.crc32(b"2") % 5 else (1, 0, 0)}
+
+
+@pytest.mark.parametrize("gap", [0, 7])
+def test_rows_are_in_the_table_once_and_meet_before_they_are_gathered(spark, tmp_path, gap):
+    df = spark.createDataFrame([tuple(r.values()) for r in made(5, 40)], SCHEMA)
+    found = te.histories(df, IDS, ["item", "word"], "at", "fold", "n", "s", gap=gap, folder=str(tmp_path))
+    plan = lambda x: x._jdf.queryExecution().optimizedPlan().toString()
+    assert plan(found).count("Generate ") == (3 if gap else 2)  # columns and carried totals; with a gap each row two times
+    above = plan(te.gathered(found, IDS, ["item", "word"])).split("Aggregate ")[1]
+    assert "RepartitionByExpression" in above.split("Window")[0]
